@@ -99,23 +99,20 @@ def plan_format(fmt: str) -> FormatPlan:
         return FormatPlan("python")
     flags = "(?iu)" if literal_letters else ""
     # The match is taken greedily first and only then compared with the end.
-    pattern = rf"{flags}\A(?>{''.join(body)})\z|\A(?s:.*)\z"
+    pattern = rf"{flags}\A(?>{''.join(body)})\z"
     two_digit = "y" in groups
     field = {**_FIELD_DEFAULTS, **groups}
     year = groups["y"] if two_digit else field["Y"]
     iso = f"{year}-{field['m']}-{field['d']} {field['H']}:{field['M']}:{field['S']}.{field['f']}"
-    if set(groups) == {"f"}:
-        return FormatPlan("python")
     return FormatPlan("pattern", pattern, iso, two_digit)
 
 
 def _pattern_column(text: Column, fmt: str, plan: FormatPlan) -> Column:
-    # A text that fails the pattern loses every field and cannot be cast.
     iso = F.regexp_replace(text, plan.pattern, plan.iso)
     if plan.two_digit_year:
         century = F.when(F.substring(iso, 1, 2) <= "68", F.lit("20")).otherwise(F.lit("19"))
         iso = F.concat(century, iso)
-    parsed = iso.try_cast("timestamp_ntz")
+    parsed = F.when(text.rlike(plan.pattern), iso.try_cast("timestamp_ntz"))
     shape = _ISO_SHAPES.get(fmt)
     if shape is None:
         return parsed

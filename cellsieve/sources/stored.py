@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cellsieve.plans.cells import ISSUE_COLUMNS
 
 DATASET = "dataset_id"
 
 
+# Characters that are percent-encoded in partition folder names.
+_ESCAPED = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+
+
+def partition_path(root: str, dataset_id: str) -> str:
+    """Folder of one data set. Data sets differ in columns, so only it is listed."""
+    name = _ESCAPED.sub(lambda m: f"%{ord(m.group()):02X}", dataset_id)
+    return f"{root.rstrip('/')}/{DATASET}={name}"
+
+
 def _stored(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
-    # The partition column stays text, whatever the ids look like.
-    whole = spark.read.option("basePath", root).parquet(root)
-    return whole.where(F.col(DATASET).cast("string") == dataset_id)
+    try:
+        return spark.read.parquet(partition_path(root, dataset_id))
+    except AnalysisException as error:
+        raise FileNotFoundError(f"nothing stored for data set {dataset_id!r} under {root}") from error
 
 
 def scan_raw(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
     """The all-string table of one data set; only its partition is read."""
-    found = _stored(spark, root, dataset_id)
-    if not found.inputFiles():
-        raise FileNotFoundError(f"no table for data set {dataset_id!r} under {root}")
-    return found.drop(DATASET)
+    return _stored(spark, root, dataset_id)
 
 
 def load_issues(spark: SparkSession, root: str, dataset_id: str, ordered: bool = False) -> DataFrame:
     """Issues of the last stored run, optionally with their order columns."""
     found = _stored(spark, root, dataset_id)
-    return found.drop(DATASET) if ordered else found.select(*ISSUE_COLUMNS)
+    return found if ordered else found.select(*ISSUE_COLUMNS)
