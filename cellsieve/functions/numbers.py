@@ -114,18 +114,28 @@ def integer_text(stripped: Column) -> Column:
 def float_text(value: Column) -> Column:
     """Text of a finite double as Python prints it (``1e7`` prints ``10000000.0``).
 
-    Both languages print the shortest digits that read back as the same value;
-    they differ in where positional notation ends and in the exponent's shape.
+    Python prints the fewest digits that read back as the same value. The JVM may
+    print one more, so 15 and 16 digits are tried first.
     """
-    text = value.cast("string")
-    size = F.abs(value)
+    def digits(n: int) -> Column:
+        return F.format_string(f"%.{n - 1}e", value)
+
+    def reads_back(text: Column) -> Column:
+        return text.try_cast("double") == value
+
+    shortest = (
+        F.when(reads_back(digits(15)), digits(15))
+        .when(reads_back(digits(16)), digits(16))
+        .otherwise(digits(17))
+    )
+    scientific = F.regexp_replace(shortest, r"\.?0*e", "e")
     positional = F.regexp_replace(
-        value.try_cast("decimal(38,20)").cast("string"), r"(\.[0-9]+?)0*\z", "$1"
+        shortest.try_cast("decimal(38,20)").cast("string"), r"(\.[0-9]+?)0*\z", "$1"
     )
-    exponent = F.regexp_replace(F.replace(text, F.lit(".0E"), F.lit("E")), r"E-([0-9])\z", "e-0$1")
-    exponent = F.regexp_replace(F.replace(exponent, F.lit("E-"), F.lit("e-")), "E", "e+")
+    text, size = value.cast("string"), F.abs(value)
+    plain = ~F.contains(text, F.lit("E")) & (F.length(text) < 17)
     return (
-        F.when(~F.contains(text, F.lit("E")), text)
+        F.when(plain, text)
         .when((size >= 1e-4) & (size < 1e16), positional)
-        .otherwise(exponent)
+        .otherwise(scientific)
     )

@@ -132,7 +132,9 @@ def dataset_stats(
         F.coalesce(F.sum(F.when(in_column, F.col("n"))), F.lit(0)).alias("invalid_cells"),
         F.coalesce(F.sum(F.when(~in_column, F.col("n"))), F.lit(0)).alias("invalid_rows"),
         F.count_if(in_column).alias("invalid_columns"),
-        F.element_at(F.array(*[F.lit(c) for c in names]), worst + 1).alias("worst_column"),
+        F.when(
+            F.count_if(in_column) > 0, F.get(F.array(*[F.lit(c) for c in names]), worst)
+        ).alias("worst_column"),
     )
     ranked = F.array_sort(
         F.collect_list(F.struct((-F.col("count")).alias("k"), "first_seen", "code", "count"))

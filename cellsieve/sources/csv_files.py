@@ -65,7 +65,8 @@ def _sniff_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 samples.setdefault(path, []).append(text)
                 sizes[path] = sizes.get(path, 0) + len(text) + 1
     found = {path: sniff_delimiter("\n".join(lines) + "\n") for path, lines in samples.items()}
-    yield pd.DataFrame({"path": list(found), "delimiter": list(found.values())})
+    if found:
+        yield pd.DataFrame({"path": list(found), "delimiter": list(found.values())})
 
 
 def sniff_delimiter(sample: str) -> str:

@@ -41,13 +41,12 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             levels = list(repeated_levels(root))
             first = list(root)[0] if len(root) else None
             fallback = f"{_tag(root)}.{_tag(first) if first is not None else 'record'}"
-            if not levels:
-                out.append((path, fallback, len(root), 0, 0, _tag(root)))
+            if not levels:  # the root's children are the rows, but no choice to offer
+                out.append((path, fallback, len(root), None, 0, _tag(root)))
             for order, (found, depth, size) in enumerate(levels):
                 out.append((path, found, size, depth, order, _tag(root)))
-        yield pd.DataFrame(
-            out, columns=["path", "record_path", "n_children", "depth", "visit_order", "root"]
-        )
+        names = ["path", "record_path", "n_children", "depth", "visit_order", "root"]
+        yield pd.DataFrame(out, columns=names).astype({"depth": "Int32"})
 
 
 _CANDIDATE_SCHEMA = (
@@ -73,7 +72,7 @@ def detect_xml_record_paths(documents: DataFrame) -> DataFrame:
 
 def xml_path_candidates(documents: DataFrame) -> DataFrame:
     """``path, record_path, visit_order`` a user may choose from."""
-    shallow = (F.col("depth") <= MAX_CANDIDATE_DEPTH) & (F.col("n_children") > 1)
+    shallow = F.col("depth") <= MAX_CANDIDATE_DEPTH
     offered = xml_candidates(documents).groupBy("path").agg(
         F.array_sort(F.collect_list(F.when(shallow, F.struct("visit_order", "record_path")))).alias("c"),
         F.min("root").alias("root"),
