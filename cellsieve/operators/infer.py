@@ -23,6 +23,7 @@ SAMPLE = 500
 ENUM_MAX_UNIQUE = 20
 ENUM_MAX_RATIO = 0.10
 ENUM_SMALL_SAMPLE = 100
+HEAD_ROWS = 1 << 16  # rows tried before the whole table is counted
 # Formats tried, in this order.
 DATETIME_FORMATS = (
     "%Y-%m-%d %H:%M:%S",
@@ -78,28 +79,42 @@ def _leading_cells(
 
     Range k holds the rows whose distance from the first row has k bits, so a
     table of any length has at most 64 of them. The counts - one per column and
-    range - decide at plan time how far each column is read.
+    range - decide at plan time how far each column is read. The head of the
+    table is tried first; only columns that are sparse there need all counts.
     """
-    first = df.agg(F.min(f"`{row_key}`")).first()[0]
+    key = F.col(f"`{row_key}`")
+    first = df.agg(F.min(key)).first()[0]
     if first is None:
         return cells
+    head = df.where(key < F.lit(first + HEAD_ROWS))
+    reach = _reach(non_null_values(head, row_key), first, width, n)
+    if reach is None:
+        reach = _reach(cells, first, width, n, partial=True)
+    limit = F.get(F.array(*[F.lit(r).cast("bigint") for r in reach]), F.col("pos"))
+    # The plain bound on the key reaches the scan and skips row groups.
+    leading = df.where(key <= F.lit(max(reach)))
+    return non_null_values(leading, row_key).where(F.col(ROW) <= limit)
+
+
+def _reach(
+    cells: DataFrame, first: int, width: int, n: int, partial: bool = False
+) -> list[int] | None:
+    """Last row to read per column, or None when a column's sample is incomplete."""
     span = F.length(F.bin(F.col(ROW).cast("bigint") - F.lit(first))).alias("span")
-    counted = cells.groupBy("pos", span).agg(F.count("*").alias("n")).collect()
-    reach: list[int] = []
+    counts: dict[int, list[tuple[int, int]]] = {}
+    for r in cells.groupBy("pos", span).agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r["pos"], []).append((r["span"], r["n"]))
+    reach = []
     for pos in range(width):
-        total = 0
-        last = 0
-        for entry in sorted((r for r in counted if r["pos"] == pos), key=lambda r: r["span"]):
-            last = entry["span"]
-            total += entry["n"]
+        total, last = 0, 0
+        for last, found in sorted(counts.get(pos, [])):
+            total += found
             if total >= n:
                 break
+        if total < n and not partial:
+            return None
         reach.append(first + (1 << last) - 1)
-    top = max(reach)
-    limit = F.get(F.array(*[F.lit(r).cast("bigint") for r in reach]), F.col("pos"))
-    # The plain bound on the key reaches the scan and skips row groups.
-    head = df.where(F.col(f"`{row_key}`") <= F.lit(top))
-    return non_null_values(head, row_key).where(F.col(ROW) <= limit)
+    return reach
 
 
 def match_rate(test: Column) -> Column:

@@ -160,10 +160,18 @@ def page(
     offset: int = 0,
     limit: int = DEFAULT_PAGE,
     row_key: str | Sequence[str] = ROW,
+    after: object = None,
 ) -> DataFrame:
-    """One page of a view in row order; sizes outside 1..200 are clamped."""
+    """One page of a view in row order; sizes outside 1..200 are clamped.
+
+    *after*, the last row of the previous page, takes the place of an offset deep
+    into a large view: skipped rows are then filtered by the scan, not sorted.
+    """
     offset, limit = max(0, offset), min(MAX_PAGE, max(1, limit))
-    return view.orderBy(row_column(row_key)).offset(offset).limit(limit)
+    row = row_column(row_key)
+    if after is not None:
+        return view.where(row > F.lit(after)).orderBy(row).limit(limit)
+    return view.orderBy(row).offset(offset).limit(limit)
 
 
 def display_index(

@@ -25,12 +25,13 @@ _OVERFLOW = "_overflow"
 _CHARSETS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1"}
 
 
-def detect_csv_dialect(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """``path, encoding, delimiter`` of every file, in one pass over their lines.
+def _file_heads(spark: SparkSession, path: str | Sequence[str], n: int = 1) -> DataFrame:
+    """``path, encoding, delimiter, head`` of every file, in one pass over their lines.
 
     A file is UTF-8 when all its lines are, else Latin-1. Validity is folded
     line by line, so large files are split as usual; only the first lines of a
-    file, which one task reads in order, go to the delimiter sniffer.
+    file, which one task reads in order, go to the delimiter sniffer. ``head``
+    holds the first *n* lines that are not blank.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"),
@@ -42,31 +43,43 @@ def detect_csv_dialect(spark: SparkSession, path: str | Sequence[str]) -> DataFr
     ).select(
         "path", F.when(F.col("utf8"), F.lit("utf-8")).otherwise(F.lit("latin-1")).alias("encoding")
     )
+
+    def sniff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        samples: dict[str, list[str]] = {}
+        sizes: dict[str, int] = {}
+        for batch in batches:
+            for file, found in batch.groupby("path", sort=False)["line"]:
+                kept = samples.setdefault(file, [])
+                for line in found:
+                    if sizes.get(file, 0) >= SNIFF_CHARS and len(kept) >= n:
+                        break
+                    kept.append(_decoded(line))
+                    sizes[file] = sizes.get(file, 0) + len(kept[-1]) + 1
+        out = []
+        for file, kept in samples.items():
+            filled = [line for line in kept if line.strip()]
+            out.append((file, sniff_delimiter("\n".join(kept) + "\n"), filled[:n]))
+        if out:
+            yield pd.DataFrame(out, columns=["path", "delimiter", "head"])
+
     heads = lines.where("start = 0").select("path", F.col("value").cast("binary").alias("line"))
-    delimiters = heads.mapInPandas(_sniff_files, "path string, delimiter string")
+    sniffed = heads.mapInPandas(sniff, "path string, delimiter string, head array<string>")
     # One row per file on either side.
-    return encodings.join(delimiters, "path", "left").select(
-        "path", "encoding", F.coalesce("delimiter", F.lit(FALLBACK_DELIMITER)).alias("delimiter")
+    return encodings.join(sniffed, "path", "left").select(
+        "path", "encoding", F.coalesce("delimiter", F.lit(FALLBACK_DELIMITER)).alias("delimiter"), "head"
     )
 
 
-def _sniff_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    samples: dict[str, list[str]] = {}
-    sizes: dict[str, int] = {}
-    for batch in batches:
-        for path, lines in batch.groupby("path", sort=False)["line"]:
-            for line in lines:
-                if sizes.get(path, 0) >= SNIFF_CHARS:
-                    break
-                try:
-                    text = line.decode("utf-8")
-                except UnicodeDecodeError:
-                    text = line.decode("latin-1")
-                samples.setdefault(path, []).append(text)
-                sizes[path] = sizes.get(path, 0) + len(text) + 1
-    found = {path: sniff_delimiter("\n".join(lines) + "\n") for path, lines in samples.items()}
-    if found:
-        yield pd.DataFrame({"path": list(found), "delimiter": list(found.values())})
+def _decoded(line: bytes) -> str:
+    try:
+        return line.decode("utf-8")
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
+
+
+def detect_csv_dialect(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``path, encoding, delimiter`` of every file."""
+    return _file_heads(spark, path).drop("head")
 
 
 def sniff_delimiter(sample: str) -> str:
@@ -107,13 +120,6 @@ def _first_lines(spark: SparkSession, path: str, encoding: str, n: int) -> list[
     return [r["line"] or "" for r in reader.schema("line string").csv(path).head(n)]
 
 
-def _header(spark: SparkSession, files: Sequence[str], delimiter: str, encoding: str, row: int):
-    lines = _first_lines(spark, sorted(files)[0], encoding, row + 1)
-    if len(lines) <= row:
-        raise ValueError(f"no header: fewer than {row + 1} lines in {sorted(files)[0]}")
-    return repair_names(next(csv.reader([lines[row].lstrip("﻿")], delimiter=delimiter)))
-
-
 def scan_csv(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -123,30 +129,28 @@ def scan_csv(
 ) -> DataFrame:
     """All cells as text, missing as the empty string, no value read as null.
 
-    Files of different dialects are read group by group and united by column
-    name. Records with too many fields are an error, short ones are filled up.
-    Rows above *header_row* are dropped from every file.
+    Files that differ in dialect or header are read group by group and united by
+    column name. Records with too many fields are an error, short ones are
+    filled up. Rows above *header_row* are dropped from every file.
     """
-    if delimiter is None or encoding is None:
-        dialects = detect_csv_dialect(spark, path).collect()  # one row per file
-        groups: dict[tuple[str, str], list[str]] = {}
-        for d in dialects:
-            key = (delimiter or d["delimiter"], encoding or d["encoding"])
-            groups.setdefault(key, []).append(d["path"])
-    else:
-        paths = spark.read.text(path).inputFiles()
-        groups = {(delimiter, encoding): list(paths)}
-    parts = [
-        _scan_group(spark, files, sep, enc, header_row) for (sep, enc), files in sorted(groups.items())
-    ]
+    groups: dict[tuple, list[str]] = {}
+    for file in _file_heads(spark, path, header_row + 1).collect():  # one row per file
+        sep, enc = delimiter or file["delimiter"], encoding or file["encoding"]
+        head = file["head"] or []
+        if len(head) <= header_row:
+            raise ValueError(f"no header: {file['path']} has fewer than {header_row + 1} lines")
+        header = next(csv.reader([head[header_row].lstrip("\ufeff")], delimiter=sep))
+        groups.setdefault((sep, enc, tuple(repair_names(header))), []).append(file["path"])
+    if not groups:
+        raise ValueError(f"no CSV lines under {path}")
+    parts = [_scan_group(spark, files, *key, header_row) for key, files in sorted(groups.items())]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
     return out.select(*[safe_str(F.col(f"`{c}`")).alias(c) for c in out.columns])
 
 
-def _scan_group(spark, files, delimiter, encoding, header_row) -> DataFrame:
-    names = _header(spark, files, delimiter, encoding, header_row)
+def _scan_group(spark, files, delimiter, encoding, names, header_row) -> DataFrame:
     # Values beyond the header land in an extra field.
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _OVERFLOW]])
     reader = _reader(spark, delimiter, encoding).schema(schema)

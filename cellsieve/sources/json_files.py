@@ -69,15 +69,19 @@ def _flatten(df: DataFrame, native: T.StructType) -> DataFrame:
 
 
 def scan_json(
-    spark: SparkSession, path: str | Sequence[str], lines: bool = False, columns: Sequence[str] | None = None
+    spark: SparkSession,
+    path: str | Sequence[str],
+    lines: bool = False,
+    columns: Sequence[str] | None = None,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
     """Records of JSON documents (or of JSON Lines, which can be split).
 
     A document is an array of objects, an object wrapping such an array, or a
-    single object. *columns* fixes the column order; readers sort by name.
+    single object. *columns* fixes the column order; readers sort by name. With a
+    *schema* of the objects the pass that finds it out is saved.
     """
-    reader = spark.read.option("multiLine", not lines)
-    native = reader.json(path).schema
+    native = schema or spark.read.option("multiLine", not lines).json(path).schema
     corrupt = spark.conf.get("spark.sql.columnNameOfCorruptRecord")
     if set(native.fieldNames()) <= {corrupt}:
         raise ValueError("a JSON document must be an array of objects or an object")

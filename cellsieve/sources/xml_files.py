@@ -121,6 +121,7 @@ def scan_xml(
     path: str | Sequence[str],
     record_path: str | None = None,
     exact: bool = False,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
     """Record elements as rows, their children and ``@attributes`` as columns.
 
@@ -137,8 +138,9 @@ def scan_xml(
     parts = record_path.strip().split(".")
 
     def read(tag: str) -> DataFrame:
+        reader = spark.read if schema is None else spark.read.schema(schema)
         return (
-            spark.read.format("xml")
+            reader.format("xml")
             .options(
                 rowTag=tag,
                 attributePrefix="@",

@@ -142,6 +142,10 @@ def test_sample_takes_the_first_values(spark):
     got = infer.inference_sample(df, n=50).groupBy("column").agg(F.count("*").alias("n"), F.max("row").alias("m"))
     assert {r["column"]: (r["n"], r["m"]) for r in got.collect()} == {
         "rare": (50, 4900 * 3 - 50), "late": (50, 15050 * 3 - 50), "dense": (50, 49 * 3 - 50)}
+    infer.HEAD_ROWS = 64
+    again = infer.inference_sample(df, n=50).groupBy("column").agg(F.count("*").alias("n"), F.max("row").alias("m"))
+    infer.HEAD_ROWS = 1 << 16
+    assert sorted(again.collect()) == sorted(got.collect())
     keyed = infer.inference_sample(df.withColumn("k", F.format_string("%08d", "row")).drop("row"), "k", 50)
     assert keyed.groupBy("column").count().count() == 3
 
@@ -203,6 +207,13 @@ def test_csv_latin1_and_mixed_sets(spark, tmp_path):
     assert records(got) == [("né", "1"), ("üb", "2")]
 
 
+def test_csv_files_with_different_headers(spark, tmp_path):
+    write(tmp_path / "d/a.csv", "x,y\n1,2\n")
+    write(tmp_path / "d/b.csv", "y,z\n3,4\n")
+    got = csv_files.scan_csv(spark, str(tmp_path / "d"), ",", "utf-8")
+    assert sorted(tuple(r) for r in got.select("x", "y", "z").collect()) == [("", "3", "4"), ("1", "2", "")]
+
+
 @pytest.mark.parametrize("header_row,names,n", [(0, ["report", "Unnamed: 1"], 5), (2, ["id", "v"], 3)])
 def test_csv_header_row(spark, tmp_path, header_row, names, n):
     for f in "ab":
