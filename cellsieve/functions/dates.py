@@ -116,10 +116,8 @@ def _pattern_column(text: Column, fmt: str, plan: FormatPlan) -> Column:
     shape = _ISO_SHAPES.get(fmt)
     if shape is None:
         return parsed
-    direct = F.nullif(F.substring(text, 1, 4), F.lit("0000"))
-    return F.when(
-        text.rlike(shape), F.when(direct.isNotNull(), text.try_cast("timestamp_ntz"))
-    ).otherwise(parsed)
+    dated = F.substring(text, 1, 4) != "0000"
+    return F.when(text.rlike(shape), F.when(dated, text.try_cast("timestamp_ntz"))).otherwise(parsed)
 
 
 def _python_texts(fmt: str):
@@ -217,4 +215,4 @@ def parse_bound(raw: object, fmt: str) -> DateBound | None:
 
 def day_text(value: Column) -> Column:
     """The calendar day as printed in messages (years are not padded)."""
-    return F.regexp_replace(F.date_format(value, "yyyy-MM-dd"), r"\A0+(?=[0-9])", "")
+    return F.regexp_replace(value.cast("date").cast("string"), r"\A0+(?=[0-9])", "")

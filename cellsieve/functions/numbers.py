@@ -16,8 +16,6 @@ MAX_INT_DIGITS = 4300
 
 _DIGITS = r"[0-9]+(?:_[0-9]+)*"
 INTEGER_PATTERN = rf"\A[+-]?{_DIGITS}\z"
-# Any text over this alphabet that Java reads as a double is also a Python float.
-_PLAIN_NUMBER = r"\A[0-9+\-.eE]+\z"
 _GROUPED_NUMBER = (
     rf"\A[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\z"
 )
@@ -37,9 +35,19 @@ def is_integer(stripped: Column) -> Column:
     return stripped.rlike(INTEGER_PATTERN) & few_digits
 
 
+def _begins_and_ends(text: Column, first: tuple[str, str], last: tuple[str, str]) -> Column:
+    """Cheap guard against what the JVM's readers trim or tolerate at either end."""
+    return F.substring(text, 1, 1).between(*first) & F.substring(text, -1, 1).between(*last)
+
+
 def integer_value(stripped: Column) -> Column:
     """The 64-bit value of an integer text; null when invalid or larger."""
-    return F.when(stripped.rlike(INTEGER_PATTERN), _ungroup(stripped).try_cast("bigint"))
+    plain = _begins_and_ends(stripped, ("+", "9"), ("0", "9"))
+    grouped = F.contains(stripped, F.lit("_")) & stripped.rlike(INTEGER_PATTERN)
+    return F.coalesce(
+        F.when(plain, stripped.try_cast("bigint")),
+        F.when(grouped, _ungroup(stripped).try_cast("bigint")),
+    )
 
 
 def integer_as_double(stripped: Column, int64: Column) -> Column:
@@ -50,13 +58,26 @@ def integer_as_double(stripped: Column, int64: Column) -> Column:
     )
 
 
+def number_text_value(stripped: Column) -> Column:
+    """Double value of a number text, infinite for very large ones, else null."""
+    # Between such ends only hexadecimal literals are numbers to the JVM alone.
+    plain = _begins_and_ends(stripped, ("+", "9"), (".", "9"))
+    hexadecimal = F.contains(stripped, F.lit("x")) | F.contains(stripped, F.lit("X"))
+    grouped = F.contains(stripped, F.lit("_")) & stripped.rlike(_GROUPED_NUMBER)
+    return F.coalesce(
+        F.when(plain & ~hexadecimal, stripped.try_cast("double")),
+        F.when(grouped, _ungroup(stripped).try_cast("double")),
+    )
+
+
+def finite(value: Column) -> Column:
+    """The value where it is finite, else null."""
+    return F.when(F.abs(value) < float("inf"), value)
+
+
 def number_value(stripped: Column) -> Column:
     """Finite double value of a number text, else null."""
-    guarded = F.when(stripped.rlike(_PLAIN_NUMBER), stripped.try_cast("double")).when(
-        F.contains(stripped, F.lit("_")) & stripped.rlike(_GROUPED_NUMBER),
-        _ungroup(stripped).try_cast("double"),
-    )
-    return F.nullif(F.nullif(guarded, F.lit(float("inf"))), F.lit(float("-inf")))
+    return finite(number_text_value(stripped))
 
 
 def is_boolean(stripped: Column) -> Column:

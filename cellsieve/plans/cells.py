@@ -230,7 +230,7 @@ class _Cells:
         return self._value("integer", "bigint", numbers.integer_value, int)
 
     def number_value(self) -> Column:
-        return self._value("number", "double", numbers.number_value, float)
+        return self._value("number", "double", numbers.number_text_value, float)
 
     def _value(self, kind, sql_type, parse, reader) -> Column:
         if not self.has(lambda p: p.kind == kind):
@@ -426,6 +426,7 @@ def checked_cells(
         build.time_value().alias("at"),
         build.time_value(utc=True).alias("utc"),
     )
+    out = out.withColumn("number", numbers.finite(F.col("number")))
     return out.select("*", build.mask().alias("mask"))
 
 

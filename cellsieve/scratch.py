@@ -8,17 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_PRIVATE: dict[str, str] = {}  # by application, for local sessions only
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a private one only where none is named."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        configured = tempfile.mkdtemp(prefix="cellsieve-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+    context = spark.sparkContext
+    named = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or context.getConf().get("spark.checkpoint.dir", None)
+        or context.getCheckpointDir()
+    )
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    application = context.applicationId
+    if application not in _PRIVATE:
+        _PRIVATE[application] = tempfile.mkdtemp(prefix="cellsieve-")
+    return _PRIVATE[application]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellsieve.functions.text import blank_missing, py_strip
+from cellsieve.spec import Template
 
 MAX_CANDIDATE_DEPTH = 6  # Fixed value: levels below the root that are offered.
 
@@ -122,6 +123,7 @@ def scan_xml(
     record_path: str | None = None,
     exact: bool = False,
     schema: T.StructType | None = None,
+    template: Template | None = None,
 ) -> DataFrame:
     """Record elements as rows, their children and ``@attributes`` as columns.
 
@@ -129,6 +131,8 @@ def scan_xml(
     path count, for files in which the tag also occurs elsewhere; each file is
     then one record of the reader. Without a path the corpus votes.
     """
+    if record_path is None and template is not None:
+        record_path = template.xml_record_path
     if record_path is None:
         documents = spark.read.format("binaryFile").load(path).select("path", "content")
         votes = common_record_path(documents).orderBy(F.desc("files"), "record_path").first()

@@ -148,13 +148,14 @@ STATS = f"""(SELECT (SELECT count(*) FROM v) AS "rows", CAST(6 AS BIGINT) AS "co
 @query("dataset_stats", sql(f"SELECT * FROM {STATS}"))
 def stats(spark, sf):
     shown = F.transform("top_issue_codes", lambda x: F.concat(x["code"], F.lit("="), x["count"].cast("string")))
-    done = summary.dataset_stats(*run(spark, sf), KEY)
+    # Several aggregates read the issues, so they are stored first.
+    done = validate(dirty_orders(spark, sf), ORDERS_SPEC, KEY).store().stats
     return done.withColumn("top_codes", F.array_join(shown, ", ")).drop("top_issue_codes")
 
 
 @query("invalid_cell_pct", sql(f"SELECT round(100 * invalid_cells / nullif(total_cells, 0), 1) AS invalid_cell_pct FROM {STATS}"))
 def pct(spark, sf):
-    return summary.invalid_cell_pct(summary.dataset_stats(*run(spark, sf), KEY))
+    return summary.invalid_cell_pct(validate(dirty_orders(spark, sf), ORDERS_SPEC, KEY).store().stats)
 
 
 def _numbers(name, pos, value, where):

@@ -46,8 +46,8 @@ def test_strip_and_key(spark):
 
 
 def test_numbers(spark):
-    values = random_texts("0123456789+-._eE", 12000, 7, 2) + random_texts("0123456789+-._eEdfxinaNI \x00", 3000, 6, 3)
-    values = [v.strip() for v in values] + ["1e308", "1e309", "-1e400", "1E5", "٣", "infinity", "9" * 25]
+    values = random_texts("0123456789+-._eE", 12000, 7, 2) + random_texts("0123456789+-._eEdfxXpPinaNI/, \x00\x01\x7f", 9000, 6, 3)
+    values = [v.strip() for v in values] + ["1e308", "1e309", "-1e400", "1E5", "٣", "infinity", "9" * 25, "0x1p3", "-0X1.8P1", "1.", ".", "+", "+.5", "-9223372036854775808", "9223372036854775808"]
     t = F.col("v")
     got = evaluate(spark, values, numbers.is_integer(t), numbers.integer_value(t), numbers.number_value(t))
     for i, v in enumerate(values):

@@ -281,6 +281,8 @@ def test_xml(spark, tmp_path):
     loose = xml_files.scan_xml(spark, path, "root.records.record")
     assert sorted(r["id"] for r in loose.collect()) == ["1", "2", "stray"]
     assert sorted(r["id"] for r in xml_files.scan_xml(spark, path).collect()) == ["1", "2", "stray"]
+    template = Template.from_dict(PORTFOLIO)
+    assert records(xml_files.scan_xml(spark, path, template=template, exact=True).select("@k", "id", "n", "v", "w")) == want
     with pytest.raises(ValueError):
         xml_files.scan_xml(spark, path, "root.nope.record", exact=True)
 
