@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellsieve.functions import dates, numbers
-from cellsieve.functions.text import is_null_token, py_strip, safe_str
-from cellsieve.plans.cells import ROW, row_column, table_columns
+from cellsieve.functions.text import is_null_token, py_strip
+from cellsieve.plans.cells import ROW, open_cells, table_columns
 
 # Thresholds and sizes of the inference.
 THRESHOLD = 0.95
@@ -42,11 +42,9 @@ DATE_FORMATS = ("%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%d.%m.%Y", "%d-%m-%Y", "%Y/
 def non_null_values(df: DataFrame, row_key: str | Sequence[str] = ROW) -> DataFrame:
     """``row, pos, column, value`` of every cell that is not a null token."""
     names = table_columns(df, row_key)
-    texts = F.array(*[safe_str(F.col(f"`{c}`")) for c in names])
-    cells = df.select(row_column(row_key).alias(ROW), texts.alias("cells")).select(
-        ROW, F.posexplode("cells").alias("pos", "raw")
+    cells = open_cells(df, names, row_key).select(
+        ROW, "pos", py_strip(F.col("raw")).alias("value")
     )
-    cells = cells.select(ROW, "pos", py_strip(F.col("raw")).alias("value"))
     return cells.where(~is_null_token(F.col("value"))).select(
         ROW, "pos", F.get(F.array(*[F.lit(c) for c in names]), F.col("pos")).alias("column"), "value"
     )

@@ -23,7 +23,9 @@ def _keyed(df: DataFrame, row_key: str | Sequence[str]) -> DataFrame:
 
 
 def _semi(df: DataFrame, rows: DataFrame, row_key, how: str) -> DataFrame:
-    found = rows.select(F.col(ROW).alias(_MARK))
+    # A row's issues lie in one task, so most repeats go before the exchange that
+    # the join needs anyway.
+    found = rows.select(F.col(ROW).alias(_MARK)).distinct()
     return _keyed(df, row_key).join(found, _MARK, how).drop(_MARK)
 
 
@@ -140,8 +142,8 @@ def cells_with_errors(
     found = errors_by_row(issues).select(F.col(ROW).alias(_MARK), "errors")
     joined = _keyed(df, row_key).join(found, _MARK, "left")
     cells = F.array(*[F.struct(F.lit(c).alias("column"), safe_str(F.col(f"`{c}`")).alias("v")) for c in names])
-    opened = joined.select(F.col(_MARK).alias(ROW), "errors", cells.alias("cells")).select(
-        ROW, "errors", F.posexplode("cells").alias("pos", "cell")
+    opened = joined.select(
+        F.col(_MARK).alias(ROW), "errors", F.posexplode(cells).alias("pos", "cell")
     )
     hit = F.get(F.filter("errors", lambda x: x["col_pos"] == F.col("pos")), F.lit(0))
     return opened.select(ROW, "pos", "cell.column", "cell.v", hit.alias("hit")).select(

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from cellsieve import codes
 from cellsieve.functions import dates, numbers, patterns
 from cellsieve.functions.registry import USER_RULES, USER_TYPES, CellContext
-from cellsieve.functions.text import is_null_token, null_token_set, py_strip, safe_str
+from cellsieve.functions.text import null_token_set, py_strip, safe_str
 from cellsieve.spec import ColumnSpec, DatasetSpec
 
 ROW = "row"
@@ -38,6 +38,9 @@ EMPTY, MISTYPED, FAILED, REGEX, MIN_LEN, MAX_LEN, MIN, MAX, NOT_IN, FIRST_USER =
 # Lists up to this length are searched in place, longer ones become hash sets.
 SHORT_LIST = 40
 
+# Rows of up to this many columns take part in whole-stage compilation.
+COMPILED_WIDTH = 90
+
 # What a message shows between its prefix and suffix.
 NOTHING, TEXT, LENGTH, WHOLE, DECIMAL, DAY, OWN = range(7)
 
@@ -403,6 +406,21 @@ class _Cells:
         return by_kind.get(plan.kind, self.text)
 
 
+def open_cells(
+    df: DataFrame, columns: Sequence[str], row_key: str | Sequence[str] = ROW
+) -> DataFrame:
+    """``row, pos, raw``: one row per cell, ``pos`` counting the given columns."""
+    row = row_column(row_key).alias(ROW)
+    texts = F.array(*[safe_str(F.col(f"`{c}`")) for c in columns])
+    # The generator takes an expression: for a plain column Spark would infer a
+    # filter on the array's size and build the array a second time.
+    if len(columns) <= COMPILED_WIDTH:
+        return df.select(row, F.posexplode(texts).alias("pos", "raw"))
+    # Operators over wide rows are not compiled, so those end before the generator.
+    wide = df.select(row, texts.alias("cells"))
+    return wide.select(ROW, F.posexplode(F.slice("cells", 1, len(columns))).alias("pos", "raw"))
+
+
 def checked_cells(
     df: DataFrame,
     plans: Sequence[ColumnPlan],
@@ -414,9 +432,7 @@ def checked_cells(
     ``cell`` counts the given plans; ``low`` is the lower-cased stripped text.
     """
     build = _Cells(plans, tokens)
-    texts = F.array(*[safe_str(F.col(f"`{p.spec.name}`")) for p in plans])
-    out = df.select(row_column(row_key).alias(ROW), texts.alias("cells"))
-    out = out.select(ROW, F.posexplode("cells").alias("cell", "raw"))
+    out = open_cells(df, [p.spec.name for p in plans], row_key).withColumnRenamed("pos", "cell")
     out = out.select("*", py_strip(F.col("raw")).alias("text"))
     out = out.select("*", F.lower(F.col("text")).alias("low"))
     out = out.select(
@@ -534,7 +550,7 @@ __all__ = [
     "empty_issues",
     "is_filled",
     "issues_from",
-    "is_null_token",
+    "open_cells",
     "plan_columns",
     "row_column",
     "spec_cells",

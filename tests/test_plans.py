@@ -33,6 +33,7 @@ def test_cell_pass_is_one_scan_without_exchange(spark, stored):
     plan = explain(spark, cell_issues(stored, SPEC))
     assert "Exchange" not in plan and "EvalPython" not in plan and plan.count("Scan parquet") == 2  # tree and details
     assert "_common_expr" not in plan  # would be evaluated for cells that do not need it
+    assert "size(array" not in plan  # cells would be put together twice
     assert "unused" not in plan.split("ReadSchema")[1]
 
 
