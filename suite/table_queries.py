@@ -158,9 +158,14 @@ def pct(spark, sf):
     return summary.invalid_cell_pct(validate(dirty_orders(spark, sf), ORDERS_SPEC, KEY).store().stats)
 
 
+def _twice(value):
+    """Six digits as the operator reports them, then four, in decimals."""
+    return f"CAST(round(CAST(round({value}, 6) AS DECIMAL(28, 6)), 4) AS DOUBLE)"
+
+
 def _numbers(name, pos, value, where):
     return f"""SELECT '{name}' AS "column", {pos} AS pos, count(x) AS "count", min(x) AS "min", max(x) AS "max",
-    round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std FROM (SELECT CAST({value} AS DOUBLE) AS x FROM {where})"""
+    {_twice("avg(x)")} AS mean, {_twice("stddev_samp(x)")} AS std FROM (SELECT CAST({value} AS DOUBLE) AS x FROM {where})"""
 
 
 @query("numeric_stats", sql(
@@ -171,8 +176,8 @@ def number_stats(spark, sf):
     return found.withColumn("mean", F.round("mean", 4)).withColumn("std", F.round("std", 4))
 
 
-@query("one_pass_summary", """SELECT 'l_quantity' AS "column", count(*) FILTER (l_quantity > 45) AS invalid_count, count(*) AS total,
-    round(avg(l_quantity) FILTER (l_quantity <= 45), 4) AS mean FROM lineitem UNION ALL
+@query("one_pass_summary", f"""SELECT 'l_quantity' AS "column", count(*) FILTER (l_quantity > 45) AS invalid_count, count(*) AS total,
+    {_twice("avg(l_quantity) FILTER (l_quantity <= 45)")} AS mean FROM lineitem UNION ALL
     SELECT 'l_returnflag', count(*) FILTER (l_returnflag = 'R'), count(*), NULL FROM lineitem UNION ALL
     SELECT 'l_shipdate', count(*) FILTER (l_shipdate < TIMESTAMP '1996-01-01'), count(*), NULL FROM lineitem UNION ALL
     SELECT 'l_tax', 0, count(*), NULL FROM lineitem""")
