@@ -15,6 +15,14 @@ from cellsieve.scratch import write_table
 
 FILE, BLOCK, SEQ = "_file", "_block", "_seq"
 
+# Tables of files or splits up to this many rows (a path and two numbers each)
+# are broadcast, larger ones are left to the optimizer.
+BROADCAST_FILES = 500_000
+
+
+def _maybe_broadcast(small: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(small) if rows <= BROADCAST_FILES else small
+
 
 def _bases(counts: DataFrame, order: list[str]) -> DataFrame:
     """First position of every file or split."""
@@ -35,7 +43,7 @@ def index_parquet(df: DataFrame, name: str = ROW) -> DataFrame:
     )
     per_file = df.groupBy(F.col("_metadata.file_path").alias(FILE)).agg(F.count("*").alias("_n"))
     bases = _bases(per_file, [FILE]).select(FILE, "_base")
-    return scan.join(F.broadcast(bases), FILE).select(
+    return scan.join(_maybe_broadcast(bases, len(df.inputFiles())), FILE).select(
         (F.col("_base") + F.col(SEQ)).alias(name), *[F.col(f"`{c}`") for c in df.columns]
     )
 
@@ -56,14 +64,16 @@ def position_in_file(tagged: DataFrame) -> DataFrame:
     Running numbers are only comparable inside one job, so *tagged* has to be a
     stored table, not a scan that may be planned differently next time.
     """
-    splits = tagged.groupBy(FILE, BLOCK).agg(
-        F.count("*").alias("_n"), F.min(SEQ).alias("_first")
+    # One row per split; written down, because its size decides the join below.
+    splits = write_table(
+        tagged.groupBy(FILE, BLOCK).agg(F.count("*").alias("_n"), F.min(SEQ).alias("_first")),
+        "splits",
     )
     before = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select(
         FILE, BLOCK, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
     )
-    return tagged.join(F.broadcast(starts), [FILE, BLOCK]).withColumn(
+    return tagged.join(_maybe_broadcast(starts, splits.count()), [FILE, BLOCK]).withColumn(
         "_pos", F.col("_start") + F.col(SEQ) - F.col("_first")
     )
 
@@ -77,7 +87,7 @@ def index_text_scan(df: DataFrame, name: str = ROW) -> DataFrame:
     placed = position_in_file(write_table(tag_scan(df), "scan"))
     per_file = placed.groupBy(FILE).agg(F.count("*").alias("_n"))
     bases = _bases(per_file, [FILE]).select(FILE, "_base")
-    return placed.join(F.broadcast(bases), FILE).select(
+    return placed.join(_maybe_broadcast(bases, len(df.inputFiles())), FILE).select(
         (F.col("_base") + F.col("_pos")).alias(name), *[F.col(f"`{c}`") for c in df.columns]
     )
 

@@ -229,6 +229,7 @@ def test_pages(make, columns):
     assert rows(views.page(df, -5, 0)) == [0]
     assert rows(views.page(df, 10, 1000)) == list(range(10, 210))
     assert rows(views.page(df, 590)) == list(range(590, 600))
+    assert rows(views.page(df.where("row % 2 = 0"), limit=3, after=500)) == [502, 504, 506]
     got = [(r["row"], r["idx"]) for r in views.display_index(df.where("row % 2 = 1"), 3, 2).collect()]
     assert got == [(7, 4), (9, 5)]
     assert rows(views.preview(df)) == list(range(10))

@@ -152,7 +152,9 @@ def test_sample_takes_the_first_values(spark):
 
 # --- positions ---------------------------------------------------------------
 
-def test_row_index_follows_file_order(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_row_index_follows_file_order(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr("cellsieve.plans.rowid.BROADCAST_FILES", broadcast)
     for i in range(4):
         part = spark.range(i * 100, i * 100 + 100, numPartitions=1).selectExpr("id", "cast(id as string) AS s")
         part.write.parquet(str(tmp_path / f"p/f{i}"))
