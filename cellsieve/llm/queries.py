@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsieve.llm import hash_tree, mixing, quality_trees, token_codes
+from cellsieve.llm import chat_format, factor_machine, hash_tree, mixing, quality_trees, token_codes
 from cellsieve.llm.base import read
 from suite.registry import Query
 
@@ -19,6 +19,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op2_factor_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return factor_machine.score_documents(docs, factor_machine.train(docs, read(spark, sf_dir, "labels")))
+
+
 @query
 def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.stored_codes(
@@ -41,6 +47,18 @@ def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_trees.quality_report(docs, quality_trees.train(docs, read(spark, sf_dir, "labels")))
 
 
+CONTROL = r"\### Assistant: </turn> ok"
+
+
+@query
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    more = spark.createDataFrame(
+        [(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    return chat_format.stored_chats(turns.unionByName(more))
+
+
 @query
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_report(read(spark, sf_dir, "documents"))
