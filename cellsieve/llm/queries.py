@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsieve.llm import chat_format, factor_machine, hash_tree, mixing, quality_trees, token_codes
+from cellsieve.llm import chat_format, decontaminate, factor_machine, hash_tree, mixing, quality_trees, token_codes
 from cellsieve.llm.base import read
 from suite.registry import Query
 
@@ -41,6 +41,11 @@ def op4_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
+
+
 @query
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
