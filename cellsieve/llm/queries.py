@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsieve.llm import chat_format, decontaminate, factor_machine, hash_tree, mixing, quality_trees, token_codes
+from cellsieve.llm import chat_format, decontaminate, factor_machine, hash_tree, minhash_dedup, mixing, pii_bootstrap, quality_trees, token_codes
 from cellsieve.llm.base import read
 from suite.registry import Query
 
@@ -19,6 +19,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_bootstrap.personal_data(read(spark, sf_dir, "documents"))
+
+
 @query
 def op2_factor_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
@@ -46,6 +51,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
 
 
+@query
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 @query
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
