@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a run of characters other than the six ASCII white-space ones. ``bytes.split()`` cuts alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,8 +23,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def in_arrow(docs: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """One output batch per input batch of at most 16 MB of the first string column.
+def in_arrow(docs: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType,
+             limit: int = 1 << 24) -> DataFrame:
+    """One output batch per input batch of about ``limit`` bytes of the first string column at most.
 
     Arrow batches hold a number of rows whatever their length, so very long texts
     are handed on in smaller slices.
@@ -31,7 +33,7 @@ def in_arrow(docs: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch):
+            for part in sliced(batch, limit):
                 yield work(part)
 
     return docs.mapInArrow(run, schema)

@@ -132,7 +132,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) ->
 
     Whether a document is hit depends on its text alone, so the hit texts' digests say which rows go.
     """
-    digest = F.sha2(F.col("text"), 256)
+    digest = F.sha2(docs["text"], 256)
     hit, _ = _hits(docs.select(digest.alias("_digest"), "text"), ["_digest"], items, window)
     dirty = hit.where(F.col("pos") >= 0).select(F.col("_digest").alias("_dirty")).distinct()
-    return docs.join(dirty, digest == F.col("_dirty"), "left_anti")
+    return docs.join(dirty, digest == dirty["_dirty"], "left_anti")

@@ -329,13 +329,18 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
         F.first(is_first).alias("first"), F.count("*").alias("rows"))
     known = write_table(known.where("not first or rows > 1").select(
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "first"), "known")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+
+    def same(other: DataFrame) -> Column:
+        # bound to its table: documents may have columns of any name
+        return docs["doc_id"].cast("long").eqNullSafe(other["_id"]) & (F.xxhash64(docs["text"]) == other["_hash"])
+
     # what goes, and the rows that are there several times (normally none)
-    side = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    rest = docs.join(side.drop("first"), same, "left_anti")
-    repeated = known.where("first")
+    some = known.select("_id", "_hash")
+    rest = docs.join(F.broadcast(some) if known.count() <= BROADCAST_ROWS else some, same(some), "left_anti")
+    repeated = known.where("first").select("_id", "_hash")
     if repeated.isEmpty():
         return rest
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row")
-    one = docs.join(repeated, same).select("_id", "_hash", row).groupBy("_id", "_hash").agg(F.first("_row").alias("_row"))
+    one = docs.join(repeated, same(repeated)).select(repeated["_id"], repeated["_hash"], row)
+    one = one.groupBy("_id", "_hash").agg(F.first("_row").alias("_row"))
     return rest.unionByName(one.select("_row.*"))
