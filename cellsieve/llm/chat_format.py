@@ -61,14 +61,16 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def _starts_with(raw: np.ndarray, what: bytes) -> np.ndarray:
-    """Where ``what`` starts. It may run on into the next value: an escape too many is dropped again."""
+def _starts_with(raw: np.ndarray, offsets: np.ndarray, what: bytes) -> np.ndarray:
+    """Where ``what`` starts and ends within one value."""
     found = np.zeros(len(raw), bool)
     if len(raw) >= len(what):
         inside = raw[:len(raw) - len(what) + 1] == what[0]
         for i in range(1, len(what)):
             inside &= raw[i:len(raw) - len(what) + 1 + i] == what[i]
-        found[:len(inside)] = inside
+        at = np.flatnonzero(inside)
+        ends = offsets[np.searchsorted(offsets, at, side="right")]
+        found[at[at + len(what) <= ends]] = True
     return found
 
 
@@ -84,7 +86,8 @@ def assemble(conv: np.ndarray, role: pa.Array, text: pa.Array) -> dict:
     role_raw, role_at = _bytes_of(role)
     text_raw, text_at = _bytes_of(text)
     role_marks = (role_raw == ord("\\")) | (role_raw == ord("\n"))
-    text_marks = (text_raw == ord("\\")) | _starts_with(text_raw, b"###") | _starts_with(text_raw, b"</turn>")
+    text_marks = (text_raw == ord("\\")) | _starts_with(text_raw, text_at, b"###") | _starts_with(
+        text_raw, text_at, b"</turn>")
     role_before, role_len, _ = _escaped(role_raw, role_at, role_marks)
     text_before, text_len, _ = _escaped(text_raw, text_at, text_marks)
     turn_len = len(HEAD) + role_len + len(AFTER_ROLE) + text_len + len(END)

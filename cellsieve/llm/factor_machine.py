@@ -32,7 +32,7 @@ BUCKETS = 1 << 13
 FACTORS = 8
 SAMPLE_ROWS = 4000
 THRESHOLD = 0.7
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Counts grow without bound and enter by their logarithm.
 COUNTS = np.array([name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words") for name in STATISTICS])
 

@@ -9,7 +9,7 @@ weight changed. ``with_shard`` adds a shard as a region of its own: no other wei
 changes, so documents move only into the new shard (the law ``key``).
 
 Placement is a projection over the row, without shuffle. Only the numbering of documents inside
-the shards shuffles, and it moves ids and hashes, not texts: documents are numbered inside 512
+the shards shuffles, and it moves ids and hashes, not texts: documents are numbered inside 4096
 hash cells per shard, and cells are numbered from their counts, so that no task holds a shard.
 
 Defined results: a null text has size 1 and the checksum of no bytes; null ids all draw alike and share one
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from cellsieve.scratch import write_table
 
-#: Cells of a shard in which documents are numbered; a fixed number, so that slots never depend on settings.
-CELLS = 512
+#: Hexadecimal digits that name the cell of a shard in which a document is numbered; fixed, so that slots never depend
+#: on settings.
+CELL_DIGITS = 3
 
 
 @dataclass(frozen=True)
@@ -117,11 +118,12 @@ def with_slots(placed: DataFrame) -> DataFrame:
 
     The order inside a shard is by hash cell, then id, checksum and size.
     """
-    cell = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(CELLS))
+    shown = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_crc32", "size")
+    cell = F.substring(F.md5(shown), 1, CELL_DIGITS)
     rows = placed.withColumn("_cell", cell)
     counts = rows.groupBy("shard", "_cell").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    # at most shards x CELLS rows
+    # at most 4096 rows a shard
     bases = counts.select(
         F.col("shard").alias("_shard"), F.col("_cell").alias("_of"),
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))

@@ -43,7 +43,7 @@ SHINGLE = 5
 PERCENT = 80
 TABLES = 20
 ROWS = 3
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Nodes and bytes of text in a block of an exact comparison.
 BLOCK_NODES = 400
 BLOCK_BYTES = 4_000_000

@@ -13,8 +13,8 @@ one row per source and shard (16 times the sources), never rows that grow with d
 Defined results: null texts and texts without words have size 0 and give nothing; a null source is a source
 and comes last; a source of size 0 has target 0; equal rows are placed one after the other; an empty table
 gives an empty result; ``doc_id``, ``text`` and ``source`` are read, and ``mixed_texts`` keeps all other columns.
-Only ``BLOCK_WORDS`` bounds how far a source ends from its target (half a block, and the unfilled part of its
-last block); sequences of more than 10**17 words per source are not supported.
+A source ends within three blocks of its target (rounding, and the unfilled part of its last block), so blocks are short; as
+they are never listed, their number costs nothing. Sequences of more than 10**17 words per source are not supported.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from cellsieve.llm.base import in_arrow, word_count
 from cellsieve.scratch import write_table
 
-BLOCK_WORDS = 16
+BLOCK_WORDS = 4
 SHARDS = 16  # the first hexadecimal digit of the order key
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5

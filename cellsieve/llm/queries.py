@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cellsieve.llm import chat_format, decontaminate, factor_machine, hash_tree, minhash_dedup, mixing, pii_bootstrap, quality_trees, suffix_dedup, token_codes
+from cellsieve.llm import (
+    chat_format, decontaminate, factor_machine, hash_tree, minhash_dedup, mixing, pii_bootstrap, quality_trees, sql,
+    suffix_dedup, token_codes)
 from cellsieve.llm.base import read
 from suite.registry import Query
 
@@ -20,6 +22,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+TREE = hash_tree.ShardTree.regular(regions=4, racks=2, shards=2)
+GROWN = TREE.with_shard(16)
+CONTROL = r"\### Assistant: </turn> ok"
+
+
 @query
 def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_bootstrap.personal_data(read(spark, sf_dir, "documents"))
@@ -39,10 +46,9 @@ def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = hash_tree.ShardTree.regular(regions=4, racks=2, shards=2)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    placed = hash_tree.place(docs, tree).withColumn("law", F.lit("key")).withColumn(
-        "grown_shard", hash_tree.shard_of(F.col("doc_id"), tree.with_shard(16)))
+    placed = hash_tree.place(docs, TREE).withColumn("law", F.lit("key")).withColumn(
+        "grown_shard", hash_tree.shard_of(F.col("doc_id"), GROWN))
     return hash_tree.with_slots(placed).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
@@ -68,9 +74,6 @@ def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_trees.quality_report(docs, quality_trees.train(docs, read(spark, sf_dir, "labels")))
 
 
-CONTROL = r"\### Assistant: </turn> ok"
-
-
 @query
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select(
@@ -90,5 +93,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+SQL |= {
+    "op4_hash_tree": sql.op4(TREE, GROWN),
+    "op5_decontaminate": sql.OP5,
+    "op7_minhash_dedup": sql.op7(size=4, percent=80),
+    "op9_chat_format": sql.op9(CONTROL),
+    "op10_mix_sources": sql.op10(),
+}
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
