@@ -12,7 +12,7 @@ hold the documents in ascending order of id, null first.
 
 Documents are dealt to tasks by ranges of ids, each sorts its own (Spark spills where needed) and encodes
 them as a stream. Words between white space are encoded alone and remembered, at most
-``REMEMBERED`` of them: the tokenizer's normaliser and splitting never look across white space
+twice ``REMEMBERED`` of them: the tokenizer's normaliser and splitting never look across white space
 (tested against whole texts).
 
 Defined results: a null or empty text has the end id only; equal ids are ordered by a hash of the text;
@@ -21,6 +21,7 @@ an empty table gives an empty result; only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,11 +36,12 @@ from cellsieve.scratch import new_path, remove_at_exit
 
 END_ID = 2
 SEGMENT_IDS = 1 << 20
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Longer words are encoded without being remembered.
 LONG_WORD = 64
 BLOCK_BITS = 512
 MAGIC = b"DAC1"
+ENDINGS = b".,;:!?"
 
 SEGMENTS = (
     "part int, segment int, start long, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, codes binary"
@@ -124,34 +126,99 @@ class Codes:
 
 
 class Encoder:
-    """Ids of texts by the given tokenizer, words remembered as little-endian bytes."""
+    """Ids of texts by the given tokenizer, words remembered as little-endian bytes.
+
+    Words are looked up in ASCII lower case, as the tokenizer lowers them anyway, and a word that ends in a letter and
+    punctuation is put together from both, which the tokenizer splits anyway. Texts that may
+    hold a special token go through the tokenizer as they are.
+    """
 
     def __init__(self, path: str) -> None:
+        # tasks already use all cores; threads of small batches would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        # words met lately, and those met before; a word met again moves up, the others are forgotten in time
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        size = self.tokenizer.get_vocab_size()
+        #: ids that end a word, where the model marks them
+        self.ends = np.array([suffix in (self.tokenizer.id_to_token(i) or "") for i in range(size)]) if suffix else None
+
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word. Words of letters stay whole, so they go as one text and are told apart by their ends."""
+        texts = [w.decode() for w in words]
+        if self.ends is None:
+            return self._encode(texts)
+        whole = [i for i, t in enumerate(texts) if t.lower().isalpha()]
+        ids = np.frombuffer(self._encode([" ".join([texts[i] for i in whole])])[0], "<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(stops) != len(whole):
+            return self._encode(texts)
+        found: list[bytes] = [b""] * len(words)
+        raw = ids.tobytes()
+        for i, a, b in zip(whole, [0, *stops], stops):
+            found[i] = raw[4 * a:4 * b]
+        rest = [i for i, t in enumerate(texts) if not t.lower().isalpha()]
+        for i, got in zip(rest, self._encode([texts[i] for i in rest])):
+            found[i] = got
+        return found
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _learn(self, words: set[bytes]) -> None:
+        young, old = self.young, self.old
+        halves: dict[bytes, tuple[bytes, bytes]] = {}
+        fresh: set[bytes] = set()
+        for word in words:
+            if word in old:
+                young[word] = old[word]
+                continue
+            core = word.rstrip(ENDINGS)
+            if core and len(core) < len(word) and core.decode().lower()[-1].isalpha():
+                halves[word] = core, word[len(core):]
+                fresh.update(halves[word])
+            else:
+                fresh.add(word)
+        for word in [w for w in fresh if w in young or w in old]:
+            young.setdefault(word, old.get(word, b""))
+            fresh.discard(word)
+        young.update(zip(fresh, self._encode_words(list(fresh))))
+        for word, (core, end) in halves.items():
+            young[word] = young[core] + young[end]
+
     def __call__(self, raw: bytes) -> bytes:
-        words = raw.split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        fresh = list({w for w in words if w not in known})
-        here = dict(zip(fresh, self._encode(fresh)))
-        found = b"".join([known[w] if w in known else here[w] for w in words])
-        known.update((w, v) for w, v in here.items() if len(w) <= LONG_WORD)
+        if b"<|" in raw:
+            return self._encode([raw.decode()])[0]
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        words = raw.lower().split()
+        young = self.young
+        missing = {w for w in words if w not in young}
+        if missing:
+            self._learn(missing)
+        found = b"".join([young[w] for w in words])
+        for word in missing:
+            if len(word) > LONG_WORD:
+                young.pop(word, None)
+                young.pop(word.rstrip(ENDINGS), None)
         return found
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One per Python worker and tokenizer: what a task has remembered serves the next ones."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def write_codes(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> None:
     """Write the ids of all documents, in ascending order of id, to ``path``."""
     spark = docs.sparkSession
@@ -161,7 +228,7 @@ def write_codes(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         end = struct.pack("<I", end_id)
         doc_ids, lengths, ids, held = [], [], [], 0
         segment = start = 0
