@@ -138,7 +138,7 @@ def test_machine_edges(build, tables):
 
 
 def test_sample_is_bounded(build, spark):
-    docs = build([(5, f"text number {i}", "s") for i in range(200)])  # one id on all rows
-    labels = spark.createDataFrame([(5, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = build([(1, f"text number {i}", "s") for i in range(200)])  # one id on all rows
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
     sample = base.labelled_sample(docs, labels, "quality", 10)
     assert len(base.bounded_collect(sample, 10)) == 10
