@@ -19,29 +19,34 @@ DELIMITERS = ",;\t|"
 FALLBACK_DELIMITER = ","
 SNIFF_CHARS = 8192
 PEEK_ROWS = 12
+# Lines kept for a header whose cells hold line breaks.
+HEADER_LINES = 64
 
 _OVERFLOW = "_overflow"
 # The JVM's names of the encodings in use.
 _CHARSETS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1"}
 
 
-def _file_heads(spark: SparkSession, path: str | Sequence[str], n: int = 1) -> DataFrame:
-    """``path, encoding, delimiter, head`` of every file, in one pass over their lines.
+def _file_heads(
+    spark: SparkSession, path: str | Sequence[str], header_row: int = 0, delimiter: str | None = None
+) -> DataFrame:
+    """``path, encoding, delimiter, header, quoted_breaks`` of every file, in one pass over their lines.
 
-    A file is UTF-8 when all its lines are, else Latin-1. Validity is folded
-    line by line, so large files are split as usual; only the first lines of a
-    file, which one task reads in order, go to the delimiter sniffer. ``head``
-    holds the first *n* lines that are not blank.
+    A file is UTF-8 when all its lines are, else Latin-1. A line with an odd number of quotes opens or ends a cell
+    that holds a line break. Both are folded line by line in the JVM, so large files are split as usual. Of the first
+    lines of a file, which one task reads in order, at most the sniffer's sample is kept; ``header`` holds the
+    cells of its record *header_row* (blank lines are no records), null if the file has none.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
         F.col("value"),
     )
-    encodings = lines.groupBy("path").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8")
+    quotes = F.octet_length("value") - F.octet_length(F.regexp_replace("value", '"', ""))
+    folded = lines.groupBy("path").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("quoted_breaks")
     ).select(
-        "path", F.when(F.col("utf8"), F.lit("utf-8")).otherwise(F.lit("latin-1")).alias("encoding")
+        "path", F.when(F.col("utf8"), F.lit("utf-8")).otherwise(F.lit("latin-1")).alias("encoding"), "quoted_breaks"
     )
 
     def sniff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,22 +56,26 @@ def _file_heads(spark: SparkSession, path: str | Sequence[str], n: int = 1) -> D
             for file, found in batch.groupby("path", sort=False)["line"]:
                 kept = samples.setdefault(file, [])
                 for line in found:
-                    if sizes.get(file, 0) >= SNIFF_CHARS and len(kept) >= n:
+                    # a header may be longer than the sniffer's sample
+                    if sizes.get(file, 0) >= SNIFF_CHARS and len(kept) > header_row + HEADER_LINES:
                         break
                     kept.append(_decoded(line))
                     sizes[file] = sizes.get(file, 0) + len(kept[-1]) + 1
         out = []
         for file, kept in samples.items():
-            filled = [line for line in kept if line.strip()]
-            out.append((file, sniff_delimiter("\n".join(kept) + "\n"), filled[:n]))
+            sep = delimiter or sniff_delimiter("\n".join(kept) + "\n")
+            kept[:1] = [kept[0].lstrip("\ufeff")]
+            records = [r for r in csv.reader([f"{line}\n" for line in kept], delimiter=sep) if any(c.strip() for c in r)]
+            out.append((file, sep, records[header_row] if len(records) > header_row else None))
         if out:
-            yield pd.DataFrame(out, columns=["path", "delimiter", "head"])
+            yield pd.DataFrame(out, columns=["path", "delimiter", "header"])
 
     heads = lines.where("start = 0").select("path", F.col("value").cast("binary").alias("line"))
-    sniffed = heads.mapInPandas(sniff, "path string, delimiter string, head array<string>")
+    sniffed = heads.mapInPandas(sniff, "path string, delimiter string, header array<string>")
     # One row per file on either side.
-    return encodings.join(sniffed, "path", "left").select(
-        "path", "encoding", F.coalesce("delimiter", F.lit(FALLBACK_DELIMITER)).alias("delimiter"), "head"
+    return folded.join(sniffed, "path", "left").select(
+        "path", "encoding", F.coalesce("delimiter", F.lit(delimiter or FALLBACK_DELIMITER)).alias("delimiter"), "header",
+        "quoted_breaks"
     )
 
 
@@ -79,7 +88,7 @@ def _decoded(line: bytes) -> str:
 
 def detect_csv_dialect(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """``path, encoding, delimiter`` of every file."""
-    return _file_heads(spark, path).drop("head")
+    return _file_heads(spark, path).select("path", "encoding", "delimiter")
 
 
 def sniff_delimiter(sample: str) -> str:
@@ -112,14 +121,6 @@ def _reader(spark: SparkSession, delimiter: str, encoding: str):
     )
 
 
-def _first_lines(spark: SparkSession, path: str, encoding: str, n: int) -> list[str]:
-    """The first non-blank lines of one file; *n* is a handful."""
-    reader = spark.read.option("sep", "\x01").option("quote", "").option(
-        "encoding", _CHARSETS.get(encoding.lower(), encoding)
-    )
-    return [r["line"] or "" for r in reader.schema("line string").csv(path).head(n)]
-
-
 def scan_csv(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -130,17 +131,15 @@ def scan_csv(
     """All cells as text, missing as the empty string, no value read as null.
 
     Files that differ in dialect or header are read group by group and united by
-    column name. Records with too many fields are an error, short ones are
+    column name. Files with line breaks in cells are one task's input each, the others are split. Records with too many fields are an error, short ones are
     filled up. Rows above *header_row* are dropped from every file.
     """
     groups: dict[tuple, list[str]] = {}
-    for file in _file_heads(spark, path, header_row + 1).collect():  # one row per file
-        sep, enc = delimiter or file["delimiter"], encoding or file["encoding"]
-        head = file["head"] or []
-        if len(head) <= header_row:
+    for file in _file_heads(spark, path, header_row, delimiter).collect():  # one row per file
+        if file["header"] is None:
             raise ValueError(f"no header: {file['path']} has fewer than {header_row + 1} lines")
-        header = next(csv.reader([head[header_row].lstrip("\ufeff")], delimiter=sep))
-        groups.setdefault((sep, enc, tuple(repair_names(header))), []).append(file["path"])
+        key = (file["delimiter"], encoding or file["encoding"], tuple(repair_names(file["header"])), file["quoted_breaks"])
+        groups.setdefault(key, []).append(file["path"])
     if not groups:
         raise ValueError(f"no CSV lines under {path}")
     parts = [_scan_group(spark, files, *key, header_row) for key, files in sorted(groups.items())]
@@ -150,10 +149,10 @@ def scan_csv(
     return out.select(*[safe_str(F.col(f"`{c}`")).alias(c) for c in out.columns])
 
 
-def _scan_group(spark, files, delimiter, encoding, names, header_row) -> DataFrame:
+def _scan_group(spark, files, delimiter, encoding, names, quoted_breaks, header_row) -> DataFrame:
     # Values beyond the header land in an extra field.
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _OVERFLOW]])
-    reader = _reader(spark, delimiter, encoding).schema(schema)
+    reader = _reader(spark, delimiter, encoding).schema(schema).option("multiLine", bool(quoted_breaks))
     if header_row == 0:
         rows = reader.option("header", True).csv(list(files))
     else:
@@ -167,17 +166,23 @@ def _scan_group(spark, files, delimiter, encoding, names, header_row) -> DataFra
 
 
 def peek_rows(
-    spark: SparkSession, path: str, n: int = PEEK_ROWS, delimiter: str | None = None, encoding: str = "utf-8"
+    spark: SparkSession, path: str, n: int = PEEK_ROWS, delimiter: str | None = None, encoding: str | None = None
 ) -> DataFrame:
-    """``row, cells`` of the first rows of a file, the header included.
+    """``row, cells`` of the first records of a file, the header included.
 
-    An unreadable file gives no rows.
+    Cells may hold line breaks. Without an *encoding* the lines read are UTF-8 if they all are, else Latin-1. An
+    unreadable file gives no rows.
     """
     schema = "row int, cells array<string>"
+    filled = F.length(F.btrim("value")) > 0
     try:
-        lines = _first_lines(spark, path, encoding, n)
+        # so many lines at most hold a preview of records with some line breaks
+        lines = spark.read.text(path).where(filled).select(F.col("value").cast("binary").alias("v")).head(n * HEADER_LINES)
+        raw = b"".join(bytes(r["v"]) + b"\n" for r in lines)
+        text = raw.decode(encoding) if encoding else _decoded(raw)
     except Exception:  # a preview degrades to nothing
         return spark.createDataFrame([], schema)
-    sep = delimiter or sniff_delimiter("\n".join(lines) + "\n")
-    cells = [(i, next(csv.reader([line], delimiter=sep))) for i, line in enumerate(lines)]
-    return spark.createDataFrame(cells, schema)
+    shown = text.lstrip("\ufeff").splitlines(keepends=True)
+    sep = delimiter or sniff_delimiter("".join(shown[:n]))
+    records = (r for r in csv.reader(shown, delimiter=sep) if r)
+    return spark.createDataFrame([(i, r) for i, r in zip(range(n), records)], schema)

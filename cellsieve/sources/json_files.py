@@ -24,10 +24,6 @@ def _as_text(kind: T.DataType) -> T.DataType:
     return T.StringType()
 
 
-def _records(kind: T.DataType) -> bool:
-    return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)
-
-
 def _cell(value: Column, kind: T.DataType) -> Column:
     """Text of one JSON value; nested values stay JSON."""
     if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
@@ -37,29 +33,19 @@ def _cell(value: Column, kind: T.DataType) -> Column:
     return blank_missing(F.coalesce(value, F.lit("")))
 
 
-def json_unwrap_records(df: DataFrame, native: T.StructType) -> DataFrame:
-    """One row per record of objects that may wrap them under a known key.
+def json_unwrap_records(df: DataFrame, native: T.StructType, key: str) -> DataFrame:
+    """One row per record of the list under *key*; a list of plain values is one column ``0``.
 
     *df* holds one parsed object per row with primitives as text; *native* is
     the same schema with the original primitive types.
     """
-    wrapped = [k for k in WRAPPER_KEYS if k in native.fieldNames() and _records(native[k].dataType)]
-    if not wrapped:
-        return _flatten(df, native)
-    parts = []
-    earlier: Column = F.lit(False)
-    for key in wrapped:
-        here = df.where(~earlier & F.col(f"`{key}`").isNotNull())
-        parts.append(_flatten(here.select(F.inline(F.col(f"`{key}`"))), native[key].dataType.elementType))
-        earlier = earlier | F.col(f"`{key}`").isNotNull()
-    plain = T.StructType([f for f in native.fields if f.name not in wrapped])
-    if plain.fields:  # objects without any wrapper are records themselves
-        alone = df.where(~earlier).select(*[f"`{n}`" for n in plain.fieldNames()])
-        parts.append(_flatten(alone, plain))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in out.columns])
+    kind = native[key].dataType
+    if not isinstance(kind, T.ArrayType):  # every list is empty
+        return df.where(F.lit(False)).select(F.lit("").alias("0"))
+    if isinstance(kind.elementType, T.StructType):
+        return _flatten(df.select(F.inline(F.col(f"`{key}`"))), kind.elementType)
+    values = df.select(F.explode(F.col(f"`{key}`")).alias("0"))
+    return _flatten(values, T.StructType([T.StructField("0", kind.elementType)]))
 
 
 def _flatten(df: DataFrame, native: T.StructType) -> DataFrame:
@@ -77,32 +63,55 @@ def scan_json(
 ) -> DataFrame:
     """Records of JSON documents (or of JSON Lines, which can be split).
 
-    A document is an array of objects, an object wrapping such an array, or a
-    single object. *columns* fixes the column order; readers sort by name. With a
-    *schema* of the objects the pass that finds it out is saved.
+    A document is an array of objects, an object wrapping a list of records, or a
+    single object. That is found out file by file, and files of one layout are read together. Lines are
+    records as they are. *columns* fixes the column order; readers sort by name. With a *schema* of the objects
+    (documents: of one layout) the pass that finds it out is saved.
     """
-    native = schema or spark.read.option("multiLine", not lines).json(path).schema
-    corrupt = spark.conf.get("spark.sql.columnNameOfCorruptRecord")
-    if set(native.fieldNames()) <= {corrupt}:
-        raise ValueError("a JSON document must be an array of objects or an object")
-    native = T.StructType([f for f in native.fields if f.name != corrupt])
-    objects = spark.read.option("multiLine", not lines).option("mode", "FAILFAST")
-    df = objects.schema(_as_text(native)).json(path)
-    if not lines and _starts_with_array(spark, df):
-        out = _flatten(df, native)
+    if lines:
+        parts = [_scan_layout(spark, path, None, True, schema)]
     else:
-        out = json_unwrap_records(df, native)
+        groups: dict[str | None, list[str]] = {}
+        for file in _layouts(spark, path).collect():  # one row per file
+            if file["layout"] == "other":
+                raise ValueError(f"a JSON document must be an array of objects or an object: {file['path']}")
+            groups.setdefault(file["layout"], []).append(file["path"])
+        if not groups:
+            raise ValueError(f"no JSON documents under {path}")
+        order = sorted(groups, key=lambda layout: (layout is not None, layout))
+        parts = [_scan_layout(spark, groups[layout], layout, False, schema) for layout in order]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    out = out.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in out.columns])
     return out.select(*[f"`{c}`" for c in columns]) if columns else out
 
 
-def _starts_with_array(spark: SparkSession, df: DataFrame) -> bool:
-    """Whether documents are arrays already; objects in them are never unwrapped."""
-    first = sorted(df.inputFiles())[0]
-    # Two bytes of layout decide; the reader stops at the first non-blank line.
-    line = spark.read.text(first).where(F.length(F.btrim("value")) > 0).select(
-        F.substring(F.ltrim("value"), 1, 1).alias("c")
-    ).first()
-    return bool(line) and line["c"] == "["
+def _layouts(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``path, layout``: the key under which an object holds its list, null for arrays and plain objects.
+
+    Anything else is ``other``. Documents are parsed in the JVM, one row each.
+    """
+    documents = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("_v"), "value")
+    root = F.substring(F.regexp_extract("value", r"^[\s\x{FEFF}]*(\S)", 1), 1, 1)
+    held = F.lit(None).cast("string")
+    for key in reversed(WRAPPER_KEYS):
+        inner = F.variant_get("_v", f"$.{key}", "variant")
+        held = F.when(F.schema_of_variant(inner).startswith("ARRAY"), F.lit(key)).otherwise(held)
+    layout = F.when(root == "[", F.lit(None).cast("string")).when(root == "{", held).otherwise(F.lit("other"))
+    return documents.select("path", layout.alias("layout"))
+
+
+def _scan_layout(spark, path, key: str | None, lines: bool, schema: T.StructType | None) -> DataFrame:
+    native = schema or spark.read.option("multiLine", not lines).json(path).schema
+    corrupt = spark.conf.get("spark.sql.columnNameOfCorruptRecord")
+    if native.fieldNames() and set(native.fieldNames()) <= {corrupt}:
+        raise ValueError("a JSON document must be an array of objects or an object")
+    native = T.StructType([f for f in native.fields if f.name != corrupt])
+    reader = spark.read.option("multiLine", not lines).option("mode", "FAILFAST")
+    df = reader.schema(_as_text(native)).json(path)
+    return _flatten(df, native) if key is None else json_unwrap_records(df, native, key)
 
 
 def unwrap_json_column(df: DataFrame, column: str, record_schema: str, keys: Sequence[str]) -> DataFrame:
@@ -117,5 +126,12 @@ def unwrap_json_column(df: DataFrame, column: str, record_schema: str, keys: Seq
 
 
 def peek_json(spark: SparkSession, path: str, n: int = PEEK_ROWS) -> DataFrame:
-    """The first records of a document."""
-    return scan_json(spark, path).limit(n)
+    """``row, cells`` of the first records of a document, in its order; an unreadable one gives no rows."""
+    schema = "row int, cells array<string>"
+    try:
+        records = scan_json(spark, path)
+        # a document is one task's input, whose rows come in order
+        first = records.select(F.array(*[F.col(f"`{c}`") for c in records.columns]).alias("cells")).head(n)
+    except Exception:  # a preview degrades to nothing
+        first = []
+    return spark.createDataFrame([(i, r["cells"]) for i, r in enumerate(first)], schema)

@@ -83,9 +83,36 @@ def xml_path_candidates(documents: DataFrame) -> DataFrame:
     return offered.select("path", F.inline(chosen)).select("path", "record_path", "visit_order")
 
 
-def common_record_path(documents: DataFrame) -> DataFrame:
-    """``record_path, files``: how often each level was taken in a corpus."""
-    return detect_xml_record_paths(documents).groupBy("record_path").agg(F.count("*").alias("files"))
+def _places(parts: Sequence[str] | None):
+    """Per document its record path, and whether the record tag also stands elsewhere."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, content in zip(batch["path"], batch["content"]):
+                root = ET.fromstring(content)
+                if parts is None:
+                    first = next(iter(repeated_levels(root)), None)
+                    child = _tag(root[0]) if len(root) else "record"
+                    record_path = first[0] if first else f"{_tag(root)}.{child}"
+                else:
+                    record_path = ".".join(parts)
+                names = record_path.split(".")
+                level = [root]
+                for name in names[1:] if names[0] == _tag(root) else names:
+                    level = [child for element in level for child in element if _tag(child) == name]
+                anywhere = sum(_tag(element) == names[-1] for element in root.iter())
+                out.append((path, record_path, len(level), anywhere > len(level)))
+            yield pd.DataFrame(out, columns=["path", "record_path", "records", "elsewhere"])
+
+    return look
+
+
+def record_places(documents: DataFrame, record_path: str | None = None) -> DataFrame:
+    """``path, record_path, records, elsewhere`` of every document; without a path each one's own is found."""
+    parts = None if record_path is None else record_path.strip().split(".")
+    return documents.select("path", "content").mapInPandas(
+        _places(parts), "path string, record_path string, records long, elsewhere boolean")
 
 
 def xml_children_to_columns(df: DataFrame) -> DataFrame:
@@ -121,24 +148,37 @@ def scan_xml(
     spark: SparkSession,
     path: str | Sequence[str],
     record_path: str | None = None,
-    exact: bool = False,
+    exact: bool | None = None,
     schema: T.StructType | None = None,
     template: Template | None = None,
 ) -> DataFrame:
     """Record elements as rows, their children and ``@attributes`` as columns.
 
-    Files are split at the record tag. With *exact* only elements at the very
-    path count, for files in which the tag also occurs elsewhere; each file is
-    then one record of the reader. Without a path the corpus votes.
+    Only elements at the very path count. Without a path every file's own one is found. One pass over the files
+    tells in which of them the record tag also stands elsewhere: these are read whole, one record of the reader
+    each, the others are split at the tag. ``exact=True`` reads all files whole and ``exact=False`` splits all of
+    them, taking the tag wherever it stands; with a path, both save the pass.
     """
     if record_path is None and template is not None:
         record_path = template.xml_record_path
-    if record_path is None:
-        documents = spark.read.format("binaryFile").load(path).select("path", "content")
-        votes = common_record_path(documents).orderBy(F.desc("files"), "record_path").first()
-        if votes is None:
-            raise ValueError("no XML files")
-        record_path = votes["record_path"]
+    if record_path is not None and exact is not None:
+        return _scan_path(spark, path, record_path, exact, schema)
+    documents = spark.read.format("binaryFile").load(path).select("path", "content")
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for file in record_places(documents, record_path).collect():  # one row per file
+        if file["records"]:
+            whole = file["elsewhere"] if exact is None else exact
+            groups.setdefault((file["record_path"], whole), []).append(file["path"])
+    if not groups:
+        raise ValueError(f"No elements found at record_path='{record_path}'" if record_path else "no XML records")
+    parts = [_scan_path(spark, files, *key, schema) for key, files in sorted(groups.items())]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in out.columns])
+
+
+def _scan_path(spark, path, record_path: str, exact: bool, schema: T.StructType | None) -> DataFrame:
     parts = record_path.strip().split(".")
 
     def read(tag: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellsieve import ColumnSpec, DatasetSpec, Template, cell_issues, validate
-from cellsieve.operators import infer, match, tables
+from cellsieve.operators import infer, match, tables, views
 from cellsieve.plans.rowid import row_index
 from cellsieve.plans.validate import all_issues, issue_order
 from cellsieve.sinks import exports
@@ -263,11 +263,80 @@ def test_json(spark, tmp_path, content, columns, want):
 
 
 def test_json_lines_and_errors(spark, tmp_path):
-    path = write(tmp_path / "l.json", '{"rows": [{"k": 1}]}\n{"rows": [{"k": 2}, {"k": 3}]}\n')
-    assert records(json_files.scan_json(spark, path, lines=True)) == [("1",), ("2",), ("3",)]
+    path = write(tmp_path / "l.json", '{"id": 1, "items": [{"k": 1}]}\n{"id": 2, "items": []}\n')
+    found = json_files.scan_json(spark, path, lines=True, columns=["id", "items"])
+    assert records(found) == [("1", '[{"k":"1"}]'), ("2", "[]")]
     with pytest.raises(ValueError):
         json_files.scan_json(spark, write(tmp_path / "s.json", '"scalar"'))
-    assert json_files.peek_json(spark, path, 1).count() <= 2
+    peeked = json_files.peek_json(spark, write(tmp_path / "p.json", '[{"a": 2, "b": "x"}, {"a": 1}]'), 5)
+    assert [tuple(r) for r in peeked.orderBy("row").collect()] == [(0, ["2", "x"]), (1, ["1", ""])]
+    assert json_files.peek_json(spark, str(tmp_path / "nothing.json")).count() == 0
+
+
+@pytest.mark.parametrize("limits", [(500_000, 100_000), (0, 100_000), (0, 2)])
+def test_popular_template(spark, limits):
+    """One template held against many tables, by broadcast, by shuffle and in copies."""
+    wanted = Template.from_dict({"id": "t", "columns": [
+        {"name": "Key", "aliases": ["Id", "No"], "required": True}, {"name": "Note", "required": True}, {"name": "Left out"}]})
+    tables = {f"d{i}": ["no", "ID ", f"x{i}"] if i % 2 else ["note", "NO", "Note"] for i in range(9)}
+    headers = spark.createDataFrame(
+        [(d, k, n) for d, names in tables.items() for k, n in enumerate(names)], "dataset_id string, pos int, name string")
+    pairs = spark.createDataFrame([(d, "t") for d in tables], "dataset_id string, template_id string")
+    got = match.match_schema_catalog(headers, match.template_candidates(spark, [wanted]), pairs, *limits).collect()
+    want = set()
+    for d, names in tables.items():
+        one = match_columns(wanted, names)
+        want |= {(d, "matched", c, n) for c, n in one.matched.items()}
+        want |= {(d, "unresolved", c, None) for c in one.unresolved} | {(d, "missing", c, None) for c in one.missing}
+        want |= {(d, "extra", None, n) for n in one.extra}
+    assert {(r["dataset_id"], r["status"], r["column"], r["name"]) for r in got} == want and len(got) == len(want)
+    assert match_columns(wanted, tables["d1"]).matched == {"Key": "ID "}
+    assert match_columns(wanted, tables["d2"]).matched == {"Key": "NO", "Note": "Note"}
+
+
+def test_deep_pages(make):
+    df = make({"V": [str(i) for i in range(50)]})
+    deep = views.display_index(df, 20, 5, after=19).collect()
+    assert [(r["row"], r["idx"]) for r in deep] == [(i, i + 1) for i in range(20, 25)]
+    assert deep == views.display_index(df, 20, 5).collect()
+    assert views.filter_rows(df, df.select("row").limit(0).withColumn("code", F.lit("X")), "correct_rows", "X").count() == 0
+
+
+def test_json_layouts_of_many_files(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    for name, content in {
+        "a": '\n [{"x": 1}, {"x": 2}]', "b": '{"data": [{"x": 3}, {"y": "q"}], "n": 1}', "c": '{"x": 4, "data": "text"}',
+        "d": '{"values": [7, 8], "n": 1}', "e": '{"items": [], "x": 9}', "f": '{"rows": "[1]", "items": [{"x": 5}]}',
+    }.items():
+        write(tmp_path / "docs" / f"{name}.json", content)
+    got = json_files.scan_json(spark, str(tmp_path / "docs"), columns=["x", "y", "data", "0"])
+    assert records(got) == sorted([
+        ("1", "", "", ""), ("2", "", "", ""), ("3", "", "", ""), ("", "q", "", ""), ("4", "", "text", ""),
+        ("", "", "", "7"), ("", "", "", "8"), ("5", "", "", "")])
+
+
+def test_csv_line_breaks_in_cells(spark, tmp_path):
+    (tmp_path / "csv").mkdir()
+    write(tmp_path / "csv" / "a.csv", 'id,"no\nte"\n1,"two\nlines, ""quoted"""\n2,plain\n')
+    write(tmp_path / "csv" / "b.csv", 'id,"no\nte"\n3,x\n')
+    write(tmp_path / "csv" / "c.csv", 'id;other\n4;y\n')
+    got = csv_files.scan_csv(spark, str(tmp_path / "csv")).select("id", "no\nte", "other")
+    assert records(got) == [("1", 'two\nlines, "quoted"', ""), ("2", "plain", ""), ("3", "x", ""), ("4", "", "y")]
+    peeked = csv_files.peek_rows(spark, str(tmp_path / "csv" / "a.csv"), 2).orderBy("row").collect()
+    assert [r["cells"] for r in peeked] == [["id", "no\nte"], ["1", 'two\nlines, "quoted"']]
+    latin = tmp_path / "latin.csv"
+    latin.write_bytes("a;b\nß;é\n".encode("latin-1"))
+    assert csv_files.peek_rows(spark, str(latin)).orderBy("row").collect()[1]["cells"] == ["ß", "é"]
+
+
+def test_xml_layouts_of_many_files(spark, tmp_path):
+    (tmp_path / "xml").mkdir()
+    write(tmp_path / "xml" / "a.xml", "<r><o><k>1</k></o><o><k>2</k></o></r>")
+    write(tmp_path / "xml" / "b.xml", "<q><p><k>3</k></p><p><k>4</k></p></q>")
+    write(tmp_path / "xml" / "c.xml", "<r><items><o><k>5</k></o><o><k>6</k></o></items><tail><o><k>stray</k></o></tail></r>")
+    got = xml_files.scan_xml(spark, str(tmp_path / "xml")).select("k")
+    assert records(got) == [(str(i),) for i in range(1, 7)]
+    assert records(xml_files.scan_xml(spark, str(tmp_path / "xml" / "c.xml"), "r.items.o").select("k")) == [("5",), ("6",)]
 
 
 XML = """<?xml version="1.0"?><root xmlns="urn:x"><meta><record><id>stray</id></record></meta><records>
@@ -280,9 +349,10 @@ def test_xml(spark, tmp_path):
     want = [("", "2", "", "", ""), ("7", "1", "own", "b", "")]
     exact = xml_files.scan_xml(spark, path, "root.records.record", exact=True)
     assert records(exact.select("@k", "id", "n", "v", "w")) == want
-    loose = xml_files.scan_xml(spark, path, "root.records.record")
+    loose = xml_files.scan_xml(spark, path, "root.records.record", exact=False)
     assert sorted(r["id"] for r in loose.collect()) == ["1", "2", "stray"]
-    assert sorted(r["id"] for r in xml_files.scan_xml(spark, path).collect()) == ["1", "2", "stray"]
+    for found in (xml_files.scan_xml(spark, path), xml_files.scan_xml(spark, path, "root.records.record")):
+        assert records(found.select("@k", "id", "n", "v", "w")) == want
     template = Template.from_dict(PORTFOLIO)
     assert records(xml_files.scan_xml(spark, path, template=template, exact=True).select("@k", "id", "n", "v", "w")) == want
     with pytest.raises(ValueError):
