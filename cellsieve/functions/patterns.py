@@ -9,8 +9,9 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_UNICODE_ESCAPES = set("wWdDsSbB")
-_SAME_ESCAPES = _UNICODE_ESCAPES | set("nrtfv") | set("\\.^$*+?{}[]|()-/\"'#&~@!%,:;<>= _`")
+# Python's word characters: letters, all numbers and the underscore. Java's Unicode class has others.
+_WORD = r"\p{L}\p{N}_"
+_SAME_ESCAPES = set("dD") | set("nrtfv") | set("\\.^$*+?{}[]|()-/\"'#&~@!%,:;<>= _`")
 
 
 def compiles(pattern: str) -> bool:
@@ -24,6 +25,12 @@ def compiles(pattern: str) -> bool:
 
 def to_java(pattern: str) -> str | None:
     """The same pattern for the JVM, or None if it uses something we do not map."""
+    flags = re.match(r"\(\?([is]+)\)", pattern)
+    given = flags.group(1) if flags else ""
+    if flags:
+        pattern = pattern[flags.end():]
+        if not pattern.isascii():
+            return None  # the dialects fold other letters differently
     out: list[str] = []
     names: dict[str, str] = {}
     unicode_classes = False
@@ -53,7 +60,17 @@ def to_java(pattern: str) -> str | None:
                 out.append(r"\x0B")  # in Java \v is a class
             elif nxt == "b" and in_class:
                 out.append(r"\x08")
-            elif nxt in "bBsS" and (in_class or nxt in "sS"):
+            elif nxt == "w":
+                out.append(_WORD if in_class else f"[{_WORD}]")
+            elif nxt == "W":
+                if in_class:
+                    return None
+                out.append(f"[^{_WORD}]")
+            elif nxt in "bB" and not in_class:
+                one_side = f"(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}])"
+                both_or_none = f"(?<=[{_WORD}])(?=[{_WORD}])|(?<![{_WORD}])(?![{_WORD}])"
+                out.append(f"(?:{one_side if nxt == 'b' else both_or_none})")
+            elif nxt in "sSB":
                 # Python's whitespace also holds the four separators below.
                 if nxt == "s":
                     out.append(r"\s\x1c-\x1f" if in_class else r"[\s\x1c-\x1f]")
@@ -63,7 +80,7 @@ def to_java(pattern: str) -> str | None:
                     return None
                 unicode_classes = True
             elif nxt in _SAME_ESCAPES:
-                unicode_classes = unicode_classes or nxt in _UNICODE_ESCAPES
+                unicode_classes = unicode_classes or nxt in "dD"
                 out.append("\\" + nxt)
             else:
                 return None
@@ -109,7 +126,8 @@ def to_java(pattern: str) -> str | None:
                 continue
             return None  # flags, conditionals and comments take the slower path
         if ch == ".":
-            out.append(r"[^\n]")  # Java's dot also stops at other line ends
+            # Java's dot also stops at other line ends
+            out.append("(?s:.)" if "s" in given else r"[^\n]")
             i += 1
             continue
         if ch == "$":
@@ -118,7 +136,7 @@ def to_java(pattern: str) -> str | None:
             continue
         out.append(ch)
         i += 1
-    prefix = "(?U)" if unicode_classes else ""
+    prefix = ("(?U)" if unicode_classes else "") + ("(?iu)" if "i" in given else "")
     return prefix + r"\A(?:" + "".join(out) + r")\z"
 
 

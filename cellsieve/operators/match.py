@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from cellsieve.functions.text import normalize_column_name
 from cellsieve.spec import Template
 
-# Copies of the template side; spreads the tables of a popular template.
-SALTS = 32
+# Up to this many rows of a side are broadcast; a row is a few short names, so about 100 MB at most.
+BROADCAST_ROWS = 500_000
+# Tables of one template that meet in one task; a template on more tables is copied.
+TABLES_PER_TASK = 100_000
 
 
 def template_candidates(spark, templates: list[Template]) -> DataFrame:
@@ -32,14 +34,32 @@ def template_candidates(spark, templates: list[Template]) -> DataFrame:
     )
 
 
-def _salted(pairs: DataFrame, templates: DataFrame) -> DataFrame:
-    """Every template candidate of every pair; tables of one template are spread."""
-    left = pairs.withColumn("_salt", F.pmod(F.xxhash64("dataset_id"), F.lit(SALTS)).cast("int"))
-    right = templates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def _each_pair(pairs: DataFrame, templates: DataFrame, broadcast_rows: int, tables_per_task: int) -> DataFrame:
+    """Every template candidate of every pair.
+
+    Templates are broadcast while they are few. Beyond that only templates held against very many tables are
+    copied, as often as their number of tables asks for.
+    """
+    if templates.count() <= broadcast_rows:
+        return pairs.join(F.broadcast(templates), "template_id")
+    copies = pairs.groupBy("template_id").agg(
+        F.ceil(F.count("*") / tables_per_task).cast("int").alias("_copies"))
+    hot = copies.where("_copies > 1")  # at most one in tables_per_task pairs
+    known = F.coalesce(F.col("_copies"), F.lit(1))
+    left = pairs.join(F.broadcast(hot), "template_id", "left").withColumn(
+        "_salt", F.pmod(F.xxhash64("dataset_id"), known).cast("int")).drop("_copies")
+    right = templates.join(F.broadcast(hot), "template_id", "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), known - 1))).drop("_copies")
     return left.join(right, ["template_id", "_salt"]).drop("_salt")
 
 
-def matched_columns(headers: DataFrame, templates: DataFrame, pairs: DataFrame) -> DataFrame:
+def matched_columns(
+    headers: DataFrame,
+    templates: DataFrame,
+    pairs: DataFrame,
+    broadcast_rows: int = BROADCAST_ROWS,
+    tables_per_task: int = TABLES_PER_TASK,
+) -> DataFrame:
     """``dataset_id, template_id, column, col_pos, required, name``.
 
     The candidate that comes first wins; of equally named table columns the
@@ -51,7 +71,7 @@ def matched_columns(headers: DataFrame, templates: DataFrame, pairs: DataFrame)
         .groupBy("dataset_id", "norm")
         .agg(F.max_by("name", "pos").alias("name"))
     )
-    wanted = _salted(pairs, templates).withColumn(
+    wanted = _each_pair(pairs, templates, broadcast_rows, tables_per_task).withColumn(
         "norm", normalize_column_name(F.col("candidate"))
     )
     hits = wanted.join(present, ["dataset_id", "norm"], "left")
@@ -61,14 +81,20 @@ def matched_columns(headers: DataFrame, templates: DataFrame, pairs: DataFrame)
     )
 
 
-def match_schema_catalog(headers: DataFrame, templates: DataFrame, pairs: DataFrame) -> DataFrame:
+def match_schema_catalog(
+    headers: DataFrame,
+    templates: DataFrame,
+    pairs: DataFrame,
+    broadcast_rows: int = BROADCAST_ROWS,
+    tables_per_task: int = TABLES_PER_TASK,
+) -> DataFrame:
     """``dataset_id, template_id, status, column, name``.
 
     Status is ``matched`` (both names set), ``unresolved`` (template column
     without a table column), ``missing`` (the required ones of those) or
     ``extra`` (table column no template column was matched to).
     """
-    best = matched_columns(headers, templates, pairs)
+    best = matched_columns(headers, templates, pairs, broadcast_rows, tables_per_task)
     ids = ("dataset_id", "template_id")
     states = (
         F.when(F.col("name").isNotNull(), F.array(F.lit("matched")))
@@ -77,13 +103,9 @@ def match_schema_catalog(headers: DataFrame, templates: DataFrame, pairs: DataFr
     )
     decided = best.select(*ids, F.explode(states).alias("status"), "column", "name")
     taken = best.where(F.col("name").isNotNull()).select(*ids, "name")
-    # A very wide table is spread over the salts by column name.
-    listed = headers.select("dataset_id", "name").withColumn(
-        "_salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int")
-    )
-    copies = pairs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # A table has few templates; a wide table with many is a join that Spark can split.
     extra = (
-        listed.join(copies, ["dataset_id", "_salt"])
+        headers.select("dataset_id", "name").join(pairs, "dataset_id")
         .join(taken, [*ids, "name"], "left_anti")
         .select(*ids, F.lit("extra").alias("status"), F.lit(None).cast("string").alias("column"), "name")
     )

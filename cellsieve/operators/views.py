@@ -53,15 +53,15 @@ def filter_rows(
     code: str | None = None,
     row_key: str | Sequence[str] = ROW,
 ) -> DataFrame:
-    """View mode and code filter together; both have to hold."""
-    out = df
-    if mode == "wrong_rows":
-        out = rows_wrong(out, issues, row_key)
-    elif mode == "correct_rows":
-        out = rows_correct(out, issues, row_key)
+    """View mode and code filter together; both have to hold.
+
+    A row with an issue of the code is wrong already, so one join is enough, and no correct row has one.
+    """
     if code:
-        out = rows_with_code(out, issues, code, row_key)
-    return out
+        return df.where(F.lit(False)) if mode == "correct_rows" else rows_with_code(df, issues, code, row_key)
+    if mode == "wrong_rows":
+        return rows_wrong(df, issues, row_key)
+    return rows_correct(df, issues, row_key) if mode == "correct_rows" else df
 
 
 def filtered_row_count(view: DataFrame) -> DataFrame:
@@ -181,11 +181,17 @@ def display_index(
     offset: int = 0,
     limit: int = DEFAULT_PAGE,
     row_key: str | Sequence[str] = ROW,
+    after=None,
 ) -> DataFrame:
-    """A page with ``idx``, the 1-based position within the view."""
+    """A page with ``idx``, the 1-based position within the view.
+
+    Deep pages take ``after=<last row>`` and the *offset* of the page, that is the ``idx`` of that row; then no rows
+    before the page are sorted.
+    """
     # The window only ever sees the rows of one page.
     number = F.row_number().over(Window.orderBy(row_column(row_key)))
-    return page(view, offset, limit, row_key).withColumn("idx", number + max(0, offset))
+    shown = page(view, offset, limit, row_key, after=after)
+    return shown.withColumn("idx", number + max(0, offset))
 
 
 def preview(df: DataFrame, row_key: str | Sequence[str] = ROW, n: int = PREVIEW_ROWS) -> DataFrame:

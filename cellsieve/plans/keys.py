@@ -134,21 +134,34 @@ def duplicates(
     broadcast_keys: int = BROADCAST_KEYS,
     hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
-    """Candidates that repeat an earlier row's key, with that first row."""
+    """Candidates that repeat an earlier row's key, with that first row.
+
+    Rows without a row key come last. Of several rows that share key and row key all but one are repeats, each
+    reported under their common row key: none is dropped.
+    """
     repeated = write_table(
         keys.where(F.col("n") > 1).select("rule", "key", "first", "n"), "repeated-keys"
     )
-    later = F.col(ROW) > F.col("first")
     if repeated.count() <= broadcast_keys:
-        return candidates.join(F.broadcast(repeated.drop("n")), ["rule", "key"]).where(later)
+        return _repeats(candidates.join(F.broadcast(repeated.drop("n")), ["rule", "key"]))
     is_hot = F.col("n") > hot_rows
     hot = repeated.where(is_hot).drop("n")
     if hot.isEmpty():
-        return candidates.join(repeated.drop("n"), ["rule", "key"]).where(later)
+        return _repeats(candidates.join(repeated.drop("n"), ["rule", "key"]))
     cold = repeated.where(~is_hot).drop("n")
     from_hot = candidates.join(F.broadcast(hot), ["rule", "key"])
     rest = candidates.join(F.broadcast(hot.drop("first")), ["rule", "key"], "left_anti")
-    return from_hot.unionByName(rest.join(cold, ["rule", "key"])).where(later)
+    return _repeats(from_hot.unionByName(rest.join(cold, ["rule", "key"])))
+
+
+def _repeats(found: DataFrame) -> DataFrame:
+    is_first = F.col(ROW).eqNullSafe(F.col("first"))
+    # normally one row per key, combined map-side
+    shared = found.where(is_first).groupBy("rule", "key").agg(
+        F.count("*").alias("_rows"), F.first(ROW).alias(ROW), F.min("raw").alias("raw"), F.min("num").alias("num"),
+        F.first("first").alias("first"))
+    again = shared.where("_rows > 1").withColumn("_nth", F.explode(F.sequence(F.lit(2).cast("long"), F.col("_rows"))))
+    return found.where(~is_first).unionByName(again.select(*found.columns))
 
 
 def duplicate_issues(

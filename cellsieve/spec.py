@@ -174,22 +174,26 @@ class Match:
 
 
 def match_columns(template: Template, table_columns: Sequence[str]) -> Match:
-    """Match one template to one table header (catalogues: see ``operators.match``)."""
-    present = {normalize_name(c): c for c in table_columns}  # the later column wins
-    matched: dict[str, str] = {}
-    for col in template.columns:
-        for candidate in (col.name, *col.aliases):
-            if normalize_name(candidate) in present:
-                matched[col.name] = present[normalize_name(candidate)]
-                break
-    unresolved = tuple(c.name for c in template.columns if c.name not in matched)
-    required = {c.name for c in template.columns if c.required}
-    taken = set(matched.values())
+    """Match one template to one table header (catalogues: see ``operators.match``).
+
+    Every pair of a candidate name and an equally normalised table column is a hit; of a template column's hits the
+    one with the earliest candidate, then the latest table column, is taken.
+    """
+    norms = [normalize_name(name) for name in table_columns]
+    hits = [
+        (col_pos, cand_pos, -place)
+        for col_pos, column in enumerate(template.columns)
+        for cand_pos, candidate in enumerate((column.name, *column.aliases))
+        for place, norm in enumerate(norms)
+        if norm == normalize_name(candidate)
+    ]
+    best = {hit[0]: table_columns[-hit[2]] for hit in sorted(hits, reverse=True)}
+    state = [(column, best.get(col_pos)) for col_pos, column in enumerate(template.columns)]
     return Match(
-        matched=matched,
-        missing=tuple(n for n in unresolved if n in required),
-        extra=tuple(c for c in table_columns if c not in taken),
-        unresolved=unresolved,
+        matched={column.name: name for column, name in state if name is not None},
+        missing=tuple(column.name for column, name in state if name is None and column.required),
+        extra=tuple(name for name in table_columns if name not in best.values()),
+        unresolved=tuple(column.name for column, name in state if name is None),
     )
 
 

@@ -465,10 +465,9 @@ def normalized(spark, sf):
     return tables.normalize_raw(raw, keep=["o_orderkey"])
 
 
-@query("dataset_profile", """SELECT count(*) AS "rows", 5 AS cols, 'p_partkey,p_name,p_brand,p_type,p_size' AS "columns" FROM part""")
+@query("dataset_profile", """SELECT count(*) AS "rows", 6 AS cols, 'p_partkey,p_name,p_brand,p_type,p_size,p_retailprice' AS "columns" FROM part""")
 def profile(spark, sf):
-    part = table(spark, sf, "part").drop("p_retailprice")
-    return tables.dataset_profile(part).withColumn("columns", F.array_join("columns", ","))
+    return tables.dataset_profile(table(spark, sf, "part")).withColumn("columns", F.array_join("columns", ","))
 
 
 # --- files -------------------------------------------------------------------
@@ -616,7 +615,7 @@ def issues_loaded(spark, sf):
 
 
 def read_csv(spark, path):
-    return spark.read.option("header", True).option("escape", '"').csv(path)
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 
 
 @query("export_issues_csv", sql('SELECT CAST("row" AS VARCHAR) AS "row", "column", code, message FROM issues'))

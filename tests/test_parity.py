@@ -108,6 +108,7 @@ PATTERNS = [
     r"[A-Z]+", r"^[A-Z0-9-]{4,20}$", r"\d{2,3}", r"\w+@\w+\.com", r"(?P<a_b>x|y)(?P=a_b)", r"a.c", r"[[a]+", r"[a&&b]+",
     r"\s+x\S*", r"x\Z", r"(a)(b)?\1", r"[^\s]+", r"a|bc", r"(?:ab)*", r"\x41é", r"[]a]+", r"a$", r"(?i)abc", r"a{2}b*?c+",
     r"(?<=a)b", r"a(?=b)b", r"[\w-]+", r"\bab\b", r"[\b]", r"é+", r"(?!x).*", r"\.\+\(", r"[\d.]+", r"(?#c)a", r"[a-c&]+",
+    r"(?i)[a-z]x.", r"(?is)a.c", r"(?s)a.+", r"(?i)k+", r"\w\W\w", r"\w+\b.*", r"a\Bb", r"[^\w]+",
 ]
 
 
@@ -115,11 +116,27 @@ PATTERNS = [
 def test_full_match(spark, pattern):
     values = random_texts(list("abcxyAB09@.-[]&é\n\t \x1c +("), 1500, 4, 6)
     values += ["xx", "yy", "abc", "AB12", "a@b.com", "aba", "ABC\n", "abab", "Aé", "aab", "ab", "x\n", "٣٤", "\x08"]
+    values += ["हिन्दी", "a‿b", "x²", "नमस्ते", "ſx\n", "İxa", "ıXé", "K", "ΚK", "Ⅷ_", "一x", "A\nC", "a\rc", "axy"]
     got = evaluate(spark, values, patterns.full_match(F.col("v"), pattern))
     for i, v in enumerate(values):
         assert got[i][0] == (re.fullmatch(pattern, v) is not None), (pattern, v)
 
 
+def test_word_characters(spark):
+    """All code points both sides know; Python's Unicode tables are newer than the JVM's."""
+    old = [c for c in map(chr, range(1, 0x110000)) if not 0xD800 <= ord(c) <= 0xDFFF and unicodedata.category(c) != "Cn"]
+    known = evaluate(spark, old, F.col("v").rlike(r"\A\P{Cn}\z"))
+    is_word = evaluate(spark, old, patterns.full_match(F.col("v"), r"\w"))
+    wrong = [c for i, c in enumerate(old) if known[i][0] and is_word[i][0] != (re.fullmatch(r"\w", c) is not None)]
+    assert not wrong, wrong[:20]
+
+
+def test_inline_flags_stay_in_the_jvm():
+    for pattern in (r"(?i)abc", r"(?is)a.c", r"\w+", r"\bab\b", r"[\w-]+"):
+        assert patterns.to_java(pattern) is not None
+    assert patterns.to_java("(?i)é") is None and patterns.to_java("(?m)a") is None
+
+
 def test_slugify(spark):
     values = random_texts(list(string.ascii_letters + " -_.,éßﬁ½\t\n ñ"), 600, 9, 7) + ["  Hello, World!  ", "a -- b"]
 

@@ -92,6 +92,17 @@ def test_unique(make, values, rows):
     assert [r["row"] for r in key_issues(make({"V": values}), spec).orderBy("row").collect()] == rows
 
 
+@pytest.mark.parametrize("keys", [(10**6, 10**6), (0, 10**6), (0, 1)])
+def test_repeated_and_missing_row_keys(spark, keys):
+    rows = [(1, "a"), (1, "a"), (1, "a"), (None, "b"), (None, "b"), (2, "c"), (None, "c"), (3, "c"), (4, "d"), (None, "e")]
+    df = spark.createDataFrame(rows, "row long, V string")
+    found = key_issues(df, DatasetSpec.of(C("V", rules={"unique": True})), "row", *keys)
+    assert sorted(((r["row"], r["message"][-3:]) for r in found.collect()), key=repr) == sorted(
+        [(1, "'a'"), (1, "'a'"), (None, "'b'"), (None, "'c'"), (3, "'c'")], key=repr)
+    struct = df.select(F.struct(F.col("row").alias("x"), F.lit(0).alias("y")).alias("row"), "V")
+    assert key_issues(struct, DatasetSpec.of(C("V", rules={"unique": True})), "row", *keys).count() == 5
+
+
 def test_composite_keys_by_struct_row(spark):
     df = spark.createDataFrame([("b", "1", "k"), ("a", "2", "k"), ("a", "1", "K ")], "x string, y string, z string")
     spec = DatasetSpec.of(C("z", rules={"unique": True}))
