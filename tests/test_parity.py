@@ -105,7 +105,7 @@ def test_strptime(spark, fmt):
 
 
 PATTERNS = [
-    r"[A-Z]+", r"^[A-Z0-9-]{4,20}$", r"\d{2,3}", r"\w+@\w+\.com", r"(?P<a_b>x|y)(?P=a_b)", r"a.c", r"[[a]+", r"[a&&b]+",
+    r"[A-Z]+", r"^[A-B0-9-]{2,5}$", r"\d{2,3}", r"\w+@\w+\.com", r"(?P<a_b>x|y)(?P=a_b)", r"a.c", r"[[a]+", r"[a&&b]+",
     r"\s+x\S*", r"x\Z", r"(a)(b)?\1", r"[^\s]+", r"a|bc", r"(?:ab)*", r"\x41é", r"[]a]+", r"a$", r"(?i)abc", r"a{2}b*?c+",
     r"(?<=a)b", r"a(?=b)b", r"[\w-]+", r"\bab\b", r"[\b]", r"é+", r"(?!x).*", r"\.\+\(", r"[\d.]+", r"(?#c)a", r"[a-c&]+",
     r"(?i)[a-z]x.", r"(?is)a.c", r"(?s)a.+", r"(?i)k+", r"\w\W\w", r"\w+\b.*", r"a\Bb", r"[^\w]+",
