@@ -15,19 +15,27 @@ from cellsieve.scratch import write_table
 
 FILE, BLOCK, SEQ = "_file", "_block", "_seq"
 
-# Tables of files or splits up to this many rows (a path and two numbers each)
-# are broadcast, larger ones are left to the optimizer.
-BROADCAST_FILES = 500_000
+HASH, BASE = "_hash", "_base"
 
+# Up to this many files or splits are broadcast as pairs of a 64-bit hash and a position: 16 bytes each, 160 MB for
+# 1.3 PB in splits of 128 MB. Hashes are checked to be distinct.
+BROADCAST_FILES = 10_000_000
 
-def _maybe_broadcast(small: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(small) if rows <= BROADCAST_FILES else small
 
+def _attach(scan: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Join ``_base`` of every file or split to its rows, without moving the rows while the hashes fit."""
+    known = write_table(small.select(*keys, BASE, F.xxhash64(*keys).alias(HASH)), "bases")
+    n, distinct = known.agg(F.count("*"), F.count_distinct(HASH)).first()
+    if n == distinct and n <= BROADCAST_FILES:
+        side = F.broadcast(known.select(HASH, BASE))
+        return scan.withColumn(HASH, F.xxhash64(*keys)).join(side, HASH).drop(HASH)
+    return scan.join(known.drop(HASH), keys)
 
-def _bases(counts: DataFrame, order: list[str]) -> DataFrame:
-    """First position of every file or split."""
+
+def _rows_before(counts: DataFrame, *order: str) -> DataFrame:
+    """``_base``: rows of all files or splits before, over one row per file or split."""
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return counts.withColumn(BASE, F.coalesce(F.sum("_n").over(before), F.lit(0)))
 
 
 def index_parquet(df: DataFrame, name: str = ROW) -> DataFrame:
@@ -42,9 +50,8 @@ def index_parquet(df: DataFrame, name: str = ROW) -> DataFrame:
         F.col("_metadata.row_index").alias(SEQ),
     )
     per_file = df.groupBy(F.col("_metadata.file_path").alias(FILE)).agg(F.count("*").alias("_n"))
-    bases = _bases(per_file, [FILE]).select(FILE, "_base")
-    return scan.join(_maybe_broadcast(bases, len(df.inputFiles())), FILE).select(
-        (F.col("_base") + F.col(SEQ)).alias(name), *[F.col(f"`{c}`") for c in df.columns]
+    return _attach(scan, _rows_before(per_file, FILE), [FILE]).select(
+        (F.col(BASE) + F.col(SEQ)).alias(name), *[F.col(f"`{c}`") for c in df.columns]
     )
 
 
@@ -58,37 +65,34 @@ def tag_scan(df: DataFrame) -> DataFrame:
     )
 
 
-def position_in_file(tagged: DataFrame) -> DataFrame:
-    """Turn tags that were written down into per-file positions (``_pos``).
+def _splits(tagged: DataFrame) -> DataFrame:
+    """Rows and first running number of every split.
 
     Running numbers are only comparable inside one job, so *tagged* has to be a
     stored table, not a scan that may be planned differently next time.
     """
-    # One row per split; written down, because its size decides the join below.
-    splits = write_table(
-        tagged.groupBy(FILE, BLOCK).agg(F.count("*").alias("_n"), F.min(SEQ).alias("_first")),
-        "splits",
-    )
+    return tagged.groupBy(FILE, BLOCK).agg(F.count("*").alias("_n"), F.min(SEQ).alias("_first"))
+
+
+def position_in_file(tagged: DataFrame) -> DataFrame:
+    """Turn tags that were written down into per-file positions (``_pos``)."""
     before = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.select(
-        FILE, BLOCK, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
-    )
-    return tagged.join(_maybe_broadcast(starts, splits.count()), [FILE, BLOCK]).withColumn(
-        "_pos", F.col("_start") + F.col(SEQ) - F.col("_first")
-    )
+    starts = _splits(tagged).withColumn(BASE, F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
+    placed = _attach(tagged, starts, [FILE, BLOCK])
+    return placed.withColumn("_pos", F.col(BASE) + F.col(SEQ)).drop(BASE)
 
 
 def index_text_scan(df: DataFrame, name: str = ROW) -> DataFrame:
     """Add the position column to a CSV, JSON or XML scan.
 
     These readers do not number rows, so the scan is stored once, which an
-    all-string ingest does anyway.
+    all-string ingest does anyway. Files and splits are placed by one join.
     """
-    placed = position_in_file(write_table(tag_scan(df), "scan"))
-    per_file = placed.groupBy(FILE).agg(F.count("*").alias("_n"))
-    bases = _bases(per_file, [FILE]).select(FILE, "_base")
-    return placed.join(_maybe_broadcast(bases, len(df.inputFiles())), FILE).select(
-        (F.col("_base") + F.col("_pos")).alias(name), *[F.col(f"`{c}`") for c in df.columns]
+    tagged = write_table(tag_scan(df), "scan")
+    starts = _rows_before(_splits(tagged), FILE, BLOCK)
+    starts = starts.withColumn(BASE, F.col(BASE) - F.col("_first"))
+    return _attach(tagged, starts, [FILE, BLOCK]).select(
+        (F.col(BASE) + F.col(SEQ)).alias(name), *[F.col(f"`{c}`") for c in df.columns]
     )
 
 
@@ -96,6 +100,8 @@ def row_index(df: DataFrame, name: str = ROW) -> DataFrame:
     """Positions for a file scan of any format; other plans are refused."""
     if df.isStreaming:
         raise ValueError("row positions need a batch table")
+    if name.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"the table has a column {name!r} already; pass another name")
     files = df.inputFiles()
     if not files:
         raise ValueError("row positions need a file scan; pass a key column instead")

@@ -167,6 +167,11 @@ def test_row_index_follows_file_order(spark, tmp_path, monkeypatch, broadcast):
     assert got.where("row <> id").count() == 0 and got.count() == 400
     with pytest.raises(ValueError):
         row_index(spark.range(3))
+    with pytest.raises(ValueError):
+        row_index(spark.range(3).withColumnRenamed("id", "Row"))
+    plan = row_index(spark.read.parquet(str(tmp_path / "p/f0")))._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+    assert not moved
 
 
 # --- files -------------------------------------------------------------------
