@@ -21,6 +21,8 @@ from pyspark.sql import functions as F  # noqa: E402
 from cellsieve import ColumnSpec, DatasetSpec, cell_issues, validate  # noqa: E402
 from cellsieve.operators import infer, summary, views  # noqa: E402
 from cellsieve.plans.keys import key_issues  # noqa: E402
+from cellsieve.plans.rowid import row_index  # noqa: E402
+from cellsieve.sources.csv_files import scan_csv  # noqa: E402
 from suite.dirty import ORDERS_SPEC, dirty_orders  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -41,6 +43,8 @@ LINE_COLUMNS = (
     ColumnSpec("l_shipdate", "datetime", rules={"formats": ["%Y-%m-%d %H:%M:%S"], "min_date": "1995-02-01"}),
 )
 LINES = DatasetSpec.of(*LINE_COLUMNS)
+PATTERNED = DatasetSpec.of(
+    ColumnSpec("priority", rules={"regex": r"(?i)\d-[\w ]+"}), ColumnSpec("order_date", "date", rules={"formats": ["%Y-%m-%d"]}))
 KEYED = DatasetSpec.of(*LINE_COLUMNS, unique_together=[("l_orderkey", "l_linenumber")])
 
 
@@ -77,6 +81,8 @@ def main() -> None:
     lines = stored_text(spark, numbered, f"{work}/lines")
     orders = stored_text(spark, dirty_orders(spark, SF_DIR), f"{work}/orders")
     n = lines.count()
+    text = f"{work}/orders-csv"
+    orders.repartition(CPUS).write.option("header", True).csv(text)
 
     def consume(df):
         df.write.format("noop").mode("overwrite").save()
@@ -94,6 +100,9 @@ def main() -> None:
         "dirty_orders_summary": lambda: summary.column_invalid_counts(
             orders, validate(orders, ORDERS_SPEC, "row_key").ordered_issues, "row_key"
         ).collect(),
+        "flagged_pattern": lambda: consume(cell_issues(orders, PATTERNED, "row_key")),
+        "row_index": lambda: consume(row_index(lines.drop("row"))),
+        "scan_csv": lambda: consume(scan_csv(spark, text)),
     }
     seconds = {}
     for name, run in queries.items():
