@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from cellsieve.plans.cells import ISSUE_COLUMNS
 
 DATASET = "dataset_id"
+#: Tables of a stored run beside its issues.
+RUN_PARTS = ("dataset_issues", "column_summary", "stats")
 
 
 # Characters that are percent-encoded in partition folder names.
@@ -38,3 +40,9 @@ def load_issues(spark: SparkSession, root: str, dataset_id: str, ordered: bool =
     """Issues of the last stored run, optionally with their order columns."""
     found = _stored(spark, root, dataset_id)
     return found if ordered else found.select(*ISSUE_COLUMNS)
+
+
+def load_run(spark: SparkSession, root: str, dataset_id: str) -> dict[str, DataFrame]:
+    """``issues``, ``dataset_issues``, ``column_summary`` and ``stats`` of the last stored run."""
+    parts = {part: _stored(spark, f"{root}/{part}", dataset_id) for part in RUN_PARTS}
+    return {"issues": load_issues(spark, f"{root}/issues", dataset_id), **parts}

@@ -11,7 +11,7 @@ from cellsieve.plans.rowid import row_index
 from cellsieve.plans.validate import all_issues, issue_order, union_issues
 from cellsieve.scratch import new_path
 from cellsieve.sinks import exports
-from cellsieve.sinks.stored import save_issues, save_raw
+from cellsieve.sinks.stored import save_issues, save_raw, save_run
 from cellsieve.sources import csv_files, json_files, stored, xml_files
 from cellsieve.streaming.checks import stream_issues, write_issues
 from suite.dirty import (
@@ -614,6 +614,27 @@ def issues_loaded(spark, sf):
     return stored.load_issues(spark, root, "orders")
 
 
+def stored_run(spark, sf):
+    """The orders' run, stored beside another one and loaded again."""
+    root = new_path(spark, "runs")
+    orders = dirty_orders(spark, sf)
+    save_run(validate(orders, DatasetSpec.of(ORDERS_COLUMNS[1]), KEY), root, "other")
+    save_run(validate(orders, ORDERS_SPEC, KEY), root, "orders")
+    return stored.load_run(spark, root, "orders")
+
+
+@query("load_run_summary", sql(f"SELECT * FROM {COUNTS}"))
+def run_summary_loaded(spark, sf):
+    return stored_run(spark, sf)["column_summary"].select("column", "pos", "invalid_count", "total")
+
+
+@query("load_run_stats", sql(f"SELECT * FROM {STATS}"))
+def run_stats_loaded(spark, sf):
+    shown = F.transform("top_issue_codes", lambda x: F.concat(x["code"], F.lit("="), x["count"].cast("string")))
+    found = stored_run(spark, sf)["stats"]
+    return found.withColumn("top_codes", F.array_join(shown, ", ")).drop("top_issue_codes")
+
+
 def read_csv(spark, path):
     return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 

@@ -299,6 +299,23 @@ def test_popular_template(spark, limits):
     assert match_columns(wanted, tables["d2"]).matched == {"Key": "NO", "Note": "Note"}
 
 
+def test_stored_run(make, tmp_path):
+    from cellsieve.sinks.stored import save_run
+
+    spec = DatasetSpec.of(ColumnSpec("A", "integer"), ColumnSpec("lost", required=True))
+    df = make({"A": ["1", "x", ""]})
+    done = validate(df, spec)
+    root = str(tmp_path / "runs")
+    save_run(done, root, "a/b")
+    save_run(validate(make({"A": ["1"]}), spec), root, "c")
+    got = stored.load_run(df.sparkSession, root, "a/b")
+    assert records(got["issues"]) == records(done.issues) and got["issues"].count() == 1
+    assert [r["code"] for r in got["dataset_issues"].collect()] == ["MISSING_COLUMN"]
+    assert got["stats"].first()["invalid_cells"] == 1 and got["column_summary"].count() == done.column_summary.count()
+    with pytest.raises(FileNotFoundError):
+        stored.load_run(df.sparkSession, root, "b")
+
+
 def test_deep_pages(make):
     df = make({"V": [str(i) for i in range(50)]})
     deep = views.display_index(df, 20, 5, after=19).collect()
