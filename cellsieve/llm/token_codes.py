@@ -23,8 +23,11 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,8 @@ SEGMENT_IDS = 1 << 20
 REMEMBERED = 300_000
 #: Longer words are encoded without being remembered.
 LONG_WORD = 64
+#: Bytes of text that are encoded together.
+SLICE = 1 << 21
 BLOCK_BITS = 512
 MAGIC = b"DAC1"
 ENDINGS = b".,;:!?"
@@ -142,27 +147,40 @@ class Encoder:
         # words met lately, and those met before; a word met again moves up, the others are forgotten in time
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        model = self.tokenizer.model
+        suffix = getattr(model, "end_of_word_suffix", None)
         size = self.tokenizer.get_vocab_size()
         #: ids that end a word, where the model marks them
         self.ends = np.array([suffix in (self.tokenizer.id_to_token(i) or "") for i in range(size)]) if suffix else None
+        probes = [*"abcdefghijklmnopqrstuvwxyz", "word", "tokenizers", "dont", "zzyzx", "abcdefghijklmnopqrstuvwxyz"]
+        #: whether words of small ASCII letters pass normaliser and splitting unchanged
+        self.direct = array("I").itemsize == 4 and sys.byteorder == "little" and all(
+            [t.id for t in model.tokenize(p)] == self.tokenizer.encode(p, add_special_tokens=False).ids for p in probes)
 
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word. Words of letters stay whole, so they go as one text and are told apart by their ends."""
-        texts = [w.decode() for w in words]
-        if self.ends is None:
-            return self._encode(texts)
-        whole = [i for i, t in enumerate(texts) if t.lower().isalpha()]
-        ids = np.frombuffer(self._encode([" ".join([texts[i] for i in whole])])[0], "<u4")
-        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-        if len(stops) != len(whole):
-            return self._encode(texts)
+        """Ids of each word.
+
+        Small ASCII letters go to the tokenizer's model at once where that was found to be the same. Other words of letters
+        stay whole, so they go as one text and are told apart by their ends.
+        """
         found: list[bytes] = [b""] * len(words)
-        raw = ids.tobytes()
-        for i, a, b in zip(whole, [0, *stops], stops):
-            found[i] = raw[4 * a:4 * b]
-        rest = [i for i, t in enumerate(texts) if not t.lower().isalpha()]
-        for i, got in zip(rest, self._encode([texts[i] for i in rest])):
+        model, letters, rest = self.tokenizer.model, [], []
+        for i, word in enumerate(words):
+            if self.direct and word.isalpha():  # of bytes: ASCII letters, here small ones
+                found[i] = array("I", [t.id for t in model.tokenize(word.decode())]).tobytes()
+            elif self.ends is not None and word.decode().lower().isalpha():
+                letters.append(i)
+            else:
+                rest.append(i)
+        ids = np.frombuffer(self._encode([" ".join([words[i].decode() for i in letters])])[0], "<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist() if letters else []
+        if len(stops) == len(letters):
+            raw = ids.tobytes()
+            for i, a, b in zip(letters, [0, *stops], stops):
+                found[i] = raw[4 * a:4 * b]
+        else:
+            rest += letters
+        for i, got in zip(rest, self._encode([words[i].decode() for i in rest])):
             found[i] = got
         return found
 
@@ -191,21 +209,23 @@ class Encoder:
         for word, (core, end) in halves.items():
             young[word] = young[core] + young[end]
 
-    def __call__(self, raw: bytes) -> bytes:
-        if b"<|" in raw:
-            return self._encode([raw.decode()])[0]
+    def __call__(self, raws: list[bytes]) -> list[bytes]:
+        """Ids of each text."""
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        words = raw.lower().split()
-        young = self.young
-        missing = {w for w in words if w not in young}
+        split = [None if b"<|" in raw else raw.lower().split() for raw in raws]
+        known = self.young
+        missing = {w for w in set(chain.from_iterable(words for words in split if words)) if w not in known}
         if missing:
             self._learn(missing)
-        found = b"".join([young[w] for w in words])
+        found = [
+            self._encode([raw.decode()])[0] if words is None else b"".join(map(known.__getitem__, words))
+            for raw, words in zip(raws, split)
+        ]
         for word in missing:
             if len(word) > LONG_WORD:
-                young.pop(word, None)
-                young.pop(word.rstrip(ENDINGS), None)
+                known.pop(word, None)
+                known.pop(word.rstrip(ENDINGS), None)
         return found
 
 
@@ -243,9 +263,9 @@ def write_codes(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID
                 ["part", "segment", "start", "n_tokens", "doc_ids", "lengths", "codes"])
 
         for batch in batches:
-            for slice_ in sliced(batch):
-                for doc_id, raw in zip(slice_.column(0).to_pylist(), raw_texts(slice_.column(1))):
-                    got = encode(raw) + end
+            for slice_ in sliced(batch, SLICE):
+                for doc_id, got in zip(slice_.column(0).to_pylist(), encode(raw_texts(slice_.column(1)))):
+                    got += end
                     doc_ids.append(doc_id)
                     lengths.append(len(got) // 4)
                     ids.append(got)
