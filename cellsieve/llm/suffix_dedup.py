@@ -43,11 +43,12 @@ LENGTH = 100
 GRAM = 32
 SIDE = 34  # GRAM + 2 * SIDE <= LENGTH: every string holds the side left or right of its anchor
 WINDOW = LENGTH - GRAM + 1
-CHUNK = 1 << 22
-SLICE = 1 << 22
+CHUNK = 1 << 21
+SLICE = 1 << 21
 HOT = 50_000
-#: Rows of a few numbers per document; up to this many are broadcast to the texts, else texts are shuffled.
-BROADCAST_ROWS = 500_000
+#: Up to this many contexts or ranges (of three numbers, so about 50 MB) are broadcast to the texts, else texts are
+#: shuffled.
+BROADCAST_ITEMS = 2_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(17).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -429,7 +430,8 @@ def _has_twins(numbered: DataFrame) -> bool:
 
 
 def _beside_texts(numbered: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
-    side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    items = found.agg(F.sum(F.size(found.columns[2]) + 1)).first()[0] or 0
+    side = F.broadcast(found) if items <= BROADCAST_ITEMS else found
     return numbered.join(side, (F.col("o") == F.col("_o")) & (F.col("tie") == F.col("_tie")), how)
 
 

@@ -85,7 +85,7 @@ def test_against_brute_force(build, monkeypatch, hot):
 
 
 def test_shuffled_texts(build, monkeypatch):
-    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(S, "BROADCAST_ITEMS", 0)
     rows = mutated(9)
     got = S.without_repeats(build(rows), with_text=True)
     assert plain(got, *COLUMNS) == expected([(i, t) for i, t, _ in rows])
