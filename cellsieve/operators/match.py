@@ -34,7 +34,12 @@ def template_candidates(spark, templates: list[Template]) -> DataFrame:
     )
 
 
-def _each_pair(pairs: DataFrame, templates: DataFrame, broadcast_rows: int, tables_per_task: int) -> DataFrame:
+def each_pair(
+    pairs: DataFrame,
+    templates: DataFrame,
+    broadcast_rows: int = BROADCAST_ROWS,
+    tables_per_task: int = TABLES_PER_TASK,
+) -> DataFrame:
     """Every template candidate of every pair.
 
     Templates are broadcast while they are few. Beyond that only templates held against very many tables are
@@ -71,7 +76,7 @@ def matched_columns(
         .groupBy("dataset_id", "norm")
         .agg(F.max_by("name", "pos").alias("name"))
     )
-    wanted = _each_pair(pairs, templates, broadcast_rows, tables_per_task).withColumn(
+    wanted = each_pair(pairs, templates, broadcast_rows, tables_per_task).withColumn(
         "norm", normalize_column_name(F.col("candidate"))
     )
     hits = wanted.join(present, ["dataset_id", "norm"], "left")

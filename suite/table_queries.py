@@ -422,7 +422,7 @@ EXPECTED = f"""(SELECT p.dataset_id, c.alias AS "column", c.required FROM {PAIRS
 
 def expected(spark, sf):
     headers, templates, pairs = catalog(spark, sf)
-    wanted = match._salted(pairs, templates.where("cand_pos = 1"))
+    wanted = match.each_pair(pairs, templates.where("cand_pos = 1"))
     return headers, wanted.select("dataset_id", F.col("candidate").alias("column"), "required")
 
 
