@@ -8,15 +8,20 @@ similarity 0.8 miss all tables with a probability of 1.2e-6 for the default of 2
 1. Documents become sets of hashed shingles and minima; documents with equal sets become one node.
 2. Short keys that only one node has cannot be half of a shared pair and are dropped before pairs are formed, so the
    quadratic number of keys is paid only by documents with a possible partner.
-3. In each table's bucket all nodes are tied to the smallest one (a star, never all pairs). Ties whose minima agree
-   too seldom for the similarity asked for (six standard deviations below it) are dropped; the others are
-   verified on the full sets. Verified ties give components, all ties give clusters.
-4. A cluster may hold several components: two nodes can be alike without either being alike to the centre. There
-   the nodes outside the largest component are compared with all nodes of the other components of their cluster,
-   on full sets, in blocks of bounded size. So no link is lost to the choice of centres.
+3. In each table's bucket all nodes are tied to the smallest one (a star, never all pairs). Ties whose sizes differ too
+   much or whose minima agree too seldom for the similarity asked for (six standard deviations below it) are dropped.
+   The others give clusters. A bucket may hold several clusters: its centre can be a longer text with a passage
+   that shorter ones share. There the nodes outside the largest cluster are compared with all nodes of the
+   other clusters of their bucket by size and minima, in blocks of bounded size, and what they pass joins clusters.
+   So two nodes of one bucket that pass are in one cluster, whatever the centre is.
+4. Ties are verified on the full sets; verified ties give components. A cluster may hold several: two nodes can be alike
+   without either being alike to the centre. There the nodes outside the largest component are compared with all nodes of
+   the other components of their cluster, on full sets, in blocks of bounded size. So no link is lost
+   to the choice of centres.
 
 Groups of copies cost linear work: equal sets are one node, and nodes that a star has linked are not
-compared again. What is quadratic is only the number of nodes in one cluster that are not linked.
+compared again. What is quadratic is only the number of nodes in one cluster that are not linked, and that of nodes in one
+bucket that no tie has brought into one cluster. Buckets with the same nodes are compared once.
 
 Defined results: null or empty texts have no shingles and are linked with nothing; fewer words than a shingle
 are one shingle; null ids sort after all others; rows with equal ids and texts are linked like any copies; an empty table gives
@@ -47,6 +52,8 @@ REMEMBERED = 200_000
 #: Nodes and bytes of text in a block of an exact comparison.
 BLOCK_NODES = 400
 BLOCK_BYTES = 4_000_000
+#: Nodes in a block of a comparison of minima.
+BLOCK_SIGNED = 2_000
 #: A side of a join is broadcast up to this many rows of two numbers, about 50 MB.
 BROADCAST_ROWS = 1_000_000
 
@@ -124,22 +131,34 @@ def _short_keys(tables: int, rows: int) -> Column:
         F.xxhash64(F.lit(t), *[F.get("sig", F.lit(t * rows + k)) for k in range(rows)]) for t in range(2 * tables)])
 
 
-def _stars(nodes: DataFrame, tables: int, rows: int, percent: int) -> DataFrame:
-    """``(centre, node)`` ties of all buckets, as a work table."""
+def _halves(nodes: DataFrame, tables: int, rows: int) -> DataFrame:
+    """The short keys of both collections that a node shares with others, as a work table."""
     short = nodes.select("node", F.posexplode(_short_keys(tables, rows)).alias("at", "short"))
     shared = short.groupBy("short").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select(
         F.col("short").alias("_short"))
     kept = short.join(shared, F.col("short") == F.col("_short"), "left_semi").groupBy("node").agg(
         F.collect_list(F.when(F.col("at") < tables, F.col("short"))).alias("left"),
         F.collect_list(F.when(F.col("at") >= tables, F.col("short"))).alias("right"))
-    halves = write_table(kept.where((F.size("left") > 0) & (F.size("right") > 0)), "halves")
-    keys = halves.select("node", F.explode("left").alias("_l"), "right").select(
-        "node", "_l", F.explode("right").alias("_r")).select("node", F.xxhash64("_l", "_r").alias("key"))
+    return write_table(kept.where((F.size("left") > 0) & (F.size("right") > 0)), "halves")
+
+
+def _keys(halves: DataFrame, *columns: str) -> DataFrame:
+    """A row per node and table, with the bucket's ``key``."""
+    return halves.select(*columns, F.explode("left").alias("_l"), "right").select(
+        *columns, "_l", F.explode("right").alias("_r")).select(*columns, F.xxhash64("_l", "_r").alias("key"))
+
+
+def _least(minima: int, percent: int) -> float:
+    """Equal minima that two nodes alike have at least, but for six standard deviations."""
+    return minima * percent / 100 - 6 * (minima * percent / 100 * (1 - percent / 100)) ** 0.5
+
+
+def _stars(halves: DataFrame, nodes: DataFrame, minima: int, percent: int) -> DataFrame:
+    """``(centre, node)`` ties of all buckets, as a work table."""
+    keys = _keys(halves, "node")
     centres = keys.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where(
         "centre < last").select(F.col("key").alias("_key"), "centre")
     ties = keys.join(centres, F.col("key") == F.col("_key")).where("node <> centre").select("centre", "node").distinct()
-    minima = 2 * tables * rows
-    least = minima * percent / 100 - 6 * (minima * percent / 100 * (1 - percent / 100)) ** 0.5
     ends = nodes.select("node", "n", "sig")
     a = ends.select(F.col("node").alias("_a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     b = ends.select(F.col("node").alias("_b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
@@ -147,7 +166,7 @@ def _stars(nodes: DataFrame, tables: int, rows: int, percent: int) -> DataFrame:
     near = (
         ties.join(a, F.col("centre") == F.col("_a")).join(b, F.col("node") == F.col("_b"))
         .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        .where(agree >= F.lit(least))
+        .where(agree >= F.lit(_least(minima, percent)))
     )
     return write_table(near.select("centre", "node"), "ties")
 
@@ -195,7 +214,24 @@ def forest(sets: list[np.ndarray], comp: np.ndarray, rest: np.ndarray, own: bool
         part[of[lo:hi], code[lo:hi] - start] = 1
         both += part[rows] @ part.T
     union = sizes[rows][:, None] + sizes[None, :] - both
-    linked = (100 * both >= percent * union) & (comp[rows][:, None] != comp[None, :])
+    return _acyclic(100 * both >= percent * union, comp, rows, own)
+
+
+def near_forest(sizes: np.ndarray, sigs: np.ndarray, comp: np.ndarray, rest: np.ndarray, own: bool,
+                percent: int) -> list[tuple[int, int]]:
+    """As ``forest``, of nodes that may be alike by their sizes and minima."""
+    rows = np.flatnonzero(rest)
+    agree = np.zeros((len(rows), len(sizes)), np.int32)
+    for minimum in sigs.T:
+        agree += minimum[rows][:, None] == minimum[None, :]
+    a, b = sizes[rows][:, None], sizes[None, :]
+    near = (agree >= _least(sigs.shape[1], percent)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+    return _acyclic(near, comp, rows, own)
+
+
+def _acyclic(linked: np.ndarray, comp: np.ndarray, rows: np.ndarray, own: bool) -> list[tuple[int, int]]:
+    """Links of ``rows`` to other components that close no cycle."""
+    linked &= comp[rows][:, None] != comp[None, :]
     if not own:
         linked[:, rows] = False
     parent: dict[int, int] = {}
@@ -215,27 +251,15 @@ def forest(sets: list[np.ndarray], comp: np.ndarray, rest: np.ndarray, own: bool
     return out
 
 
-def _between_components(ties: DataFrame, links: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links between nodes of one cluster that stars have left in different components."""
-    # one run for both graphs: even numbers for ties, odd ones for links
-    both = ties.select((F.col("centre") * 2).alias("a"), (F.col("node") * 2).alias("b")).unionByName(
-        links.select((F.col("centre") * 2 + 1).alias("a"), (F.col("node") * 2 + 1).alias("b")))
-    roots = components(both, "a", "b").select(
-        (F.col("node") % 2).alias("of"), F.shiftright("node", 1).alias("node"), F.shiftright("root", 1).alias("root"))
-    cluster = roots.where("of = 0").select(F.col("node"), F.col("root").alias("cluster"))
-    comp = roots.where("of = 1").select(F.col("node").alias("_n"), F.col("root").alias("comp"))
-    placed = cluster.join(comp, F.col("node") == F.col("_n"), "left").select(
-        "node", "cluster", F.coalesce("comp", "node").alias("comp"))
-    sized = write_table(placed.join(
-        texts.select(F.col("node").alias("_t"), F.octet_length("text").cast("long").alias("bytes")),
-        F.col("node") == F.col("_t")).drop("_t"), "placed")
+def _dealt(sized: DataFrame, block_nodes: int, block_bytes: int) -> DataFrame:
+    """Nodes of clusters with several components, once for each block comparison (``task``) they take part in."""
     per_comp = sized.groupBy("cluster", "comp").agg(F.count("*").alias("nodes"), F.sum("bytes").alias("bytes"))
     whole = per_comp.groupBy("cluster").agg(
         F.count("*").alias("comps"), F.max(F.struct("nodes", "bytes", "comp")).alias("main"),
         F.sum("nodes").alias("nodes"), F.sum("bytes").alias("bytes")).where("comps > 1")
 
     def blocks(nodes: Column, size: Column) -> Column:
-        return F.greatest(F.ceil(nodes / BLOCK_NODES), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+        return F.greatest(F.ceil(nodes / block_nodes), F.ceil(size / block_bytes), F.lit(1)).cast("int")
 
     plan = whole.select(
         F.col("cluster").alias("_c"), F.col("main.comp").alias("_main"),
@@ -257,7 +281,60 @@ def _between_components(ties: DataFrame, links: DataFrame, texts: DataFrame, shi
         F.transform(F.filter(upto(F.col("n_rest")), lambda j: j != F.col("block")), lambda j: F.struct(
             F.lit("r").alias("kind"), F.least(j, F.col("block")).alias("x"), F.greatest(j, F.col("block")).alias("y"))),
     ).otherwise(F.array().cast("array<struct<kind:string,x:int,y:int>>"))
-    dealt = rows.select("cluster", "node", "comp", "is_main", "block", F.explode(F.concat(with_main, with_rest)).alias("task"))
+    return rows.select("cluster", "node", "comp", "is_main", "block", F.explode(F.concat(with_main, with_rest)).alias("task"))
+
+
+def _across_clusters(halves: DataFrame, ties: DataFrame, nodes: DataFrame, minima: int, percent: int) -> DataFrame:
+    """``ties``, and ties that join the clusters of a bucket where its star has left several."""
+    roots = components(ties, "centre", "node").select(F.col("node").alias("_n"), "root")
+    placed = _keys(halves.join(roots, F.col("node") == F.col("_n"), "left").select(
+        "node", F.coalesce("root", "node").alias("comp"), "left", "right"), "node", "comp")
+    # the star has compared the nodes of a bucket of two; of buckets with the same nodes one is enough
+    digest = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"d{k}") for k in range(2)]
+    mixed = placed.groupBy("key").agg(
+        F.count("*").alias("nodes"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *digest
+    ).where("nodes > 2 and lo < hi")
+    mixed = write_table(mixed.groupBy("nodes", "d0", "d1").agg(F.min("key").alias("_key")).select("_key"), "mixed")
+    rows = mixed.count()
+    if not rows:
+        return ties
+    side = F.broadcast(mixed) if rows <= BROADCAST_ROWS else mixed
+    members = write_table(placed.join(side, F.col("key") == F.col("_key"), "left_semi").select(
+        F.col("key").alias("cluster"), "node", "comp", F.lit(4 * minima).cast("long").alias("bytes")), "members")
+    dealt = _dealt(members, BLOCK_SIGNED, 4 * minima * BLOCK_SIGNED).join(
+        nodes.select(F.col("node").alias("_t"), "n", "sig"), F.col("node") == F.col("_t")).select(
+        "cluster", "task.kind", "task.x", "task.y", "node", "comp", "is_main", "block", "n", "sig")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, comp, sizes, block = [table.column(c).to_numpy() for c in ("node", "comp", "n", "block")]
+        sigs = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, minima)
+        x = table.column("x")[0].as_py()
+        if table.column("kind")[0].as_py() == "m":
+            found = near_forest(sizes, sigs, comp, ~table.column("is_main").to_numpy(), x == 0, percent)
+        else:
+            found = near_forest(sizes, sigs, comp, block == x, False, percent)
+        return pa.table({"centre": pa.array([node[a] for a, _ in found], pa.int64()),
+                         "node": pa.array([node[b] for _, b in found], pa.int64())})
+
+    more = dealt.groupBy("cluster", "kind", "x", "y").applyInArrow(compare, "centre long, node long").distinct()
+    return ties.unionByName(write_table(more, "ties"))
+
+
+def _between_components(ties: DataFrame, links: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between nodes of one cluster that stars have left in different components."""
+    # one run for both graphs: even numbers for ties, odd ones for links
+    both = ties.select((F.col("centre") * 2).alias("a"), (F.col("node") * 2).alias("b")).unionByName(
+        links.select((F.col("centre") * 2 + 1).alias("a"), (F.col("node") * 2 + 1).alias("b")))
+    roots = components(both, "a", "b").select(
+        (F.col("node") % 2).alias("of"), F.shiftright("node", 1).alias("node"), F.shiftright("root", 1).alias("root"))
+    cluster = roots.where("of = 0").select(F.col("node"), F.col("root").alias("cluster"))
+    comp = roots.where("of = 1").select(F.col("node").alias("_n"), F.col("root").alias("comp"))
+    placed = cluster.join(comp, F.col("node") == F.col("_n"), "left").select(
+        "node", "cluster", F.coalesce("comp", "node").alias("comp"))
+    sized = write_table(placed.join(
+        texts.select(F.col("node").alias("_t"), F.octet_length("text").cast("long").alias("bytes")),
+        F.col("node") == F.col("_t")).drop("_t"), "placed")
+    dealt = _dealt(sized, BLOCK_NODES, BLOCK_BYTES)
     dealt = dealt.join(texts.select(F.col("node").alias("_t"), "text"), F.col("node") == F.col("_t")).select(
         "cluster", "task.kind", "task.x", "task.y", "node", "comp", "is_main", "block", "text")
     shingles = Shingles(shingle)
@@ -285,7 +362,9 @@ def _report(docs: DataFrame, shingle: int, percent: int, tables: int, rows: int)
         classes.orderBy("first").select(
             F.monotonically_increasing_id().alias("node"), "d1", "d2", F.col("first.doc_id").alias("doc_id"),
             F.col("first.text_hash").alias("text_hash"), "n", "sig"), "nodes")
-    ties = _stars(nodes, tables, rows, percent)
+    minima = 2 * tables * rows
+    halves = _halves(nodes, tables, rows)
+    ties = _across_clusters(halves, _stars(halves, nodes, minima, percent), nodes, minima, percent)
     tied = ties.select(F.col("centre").alias("node")).union(ties.select("node")).distinct()
     wanted = write_table(nodes.join(tied, "node").select(
         "node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "wanted")

@@ -67,6 +67,49 @@ def test_against_all_pairs(build, monkeypatch, seed, block):
     assert plain(got, *COLUMNS) == expected([(i, t) for i, t, _ in rows], 4)
 
 
+@pytest.mark.parametrize("longer,block", [(2000, 2000), (200, 30)])
+def test_short_pair_among_longer_texts(build, monkeypatch, longer, block):
+    monkeypatch.setattr(N, "BLOCK_SIGNED", block, raising=False)
+    rng = random.Random(7)
+    own = iter(range(1 << 30))
+    passage = [f"p{i}" for i in range(104)]
+
+    def around(n):
+        return " ".join(passage + [f"o{next(own)}" for _ in range(n)])
+
+    # similarity 100 : 120 of the pair; longer texts, too long to be like it, with smaller ids are the centres of their buckets
+    rows = [(i, around(rng.randint(40, 45)), "s") for i in range(longer)] + [(9000, around(10), "s"), (9001, around(10), "s")]
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(build(rows)).collect()}
+    assert got == {i: 9000 if i == 9001 else i for i, _, _ in rows}
+
+
+def test_near_forest_equals_pairs():
+    rng = np.random.default_rng(2)
+    sigs = np.where(rng.random((40, 120)) < 0.8, 1, rng.integers(2, 1 << 20, (40, 120))).astype(np.int32)
+    sizes, comp = rng.integers(80, 120, 40), rng.integers(0, 12, 40)
+    rest = rng.random(40) < 0.5
+    links = N.near_forest(sizes, sigs, comp, rest, True, 80)
+    assert links and all(comp[a] != comp[b] for a, b in links)
+    parent = {int(c): int(c) for c in comp}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def near(i, j):
+        agree = int((sigs[i] == sigs[j]).sum())
+        return agree >= 96 - 6 * 19.2 ** 0.5 and 5 * min(sizes[i], sizes[j]) >= 4 * max(sizes[i], sizes[j])
+
+    for a, b in links:
+        assert near(a, b) and root(int(comp[a])) != root(int(comp[b]))
+        parent[root(int(comp[a]))] = root(int(comp[b]))
+    for i in np.flatnonzero(rest):
+        for j in range(40):
+            if near(i, j):
+                assert root(int(comp[i])) == root(int(comp[j]))
+
+
 def test_documents(documents):
     assert plain(N.near_duplicates(documents, shingle=4), *COLUMNS) == expected(texts_of(documents), 4)
 
