@@ -138,7 +138,11 @@ def _rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     some = by[again]
     some = some[np.lexsort((place[some], t[some], o[some], digest[some], anchor[some]))]
     a, b = some[1:], some[:-1]
-    covered[a] = (anchor[a] == anchor[b]) & (digest[a] == digest[b])
+    starts = np.ones(len(some), bool)
+    starts[1:] = (anchor[a] != anchor[b]) | (digest[a] != digest[b])
+    first = some[np.maximum.accumulate(np.where(starts, np.arange(len(some)), 0))]
+    # a row equal in id and text is the same document again, not a later one
+    covered[some] = (o[some] != o[first]) | (t[some] != t[first]) | (place[some] != place[first])
     # a covered row needs no anchor any more: it may go to any task
     anchor = np.where(covered, digest ^ (place * np.int64(-7046029254386353131)) ^ o, anchor)
     return pa.RecordBatch.from_arrays(

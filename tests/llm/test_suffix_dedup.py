@@ -102,6 +102,16 @@ def test_edges(build):
     assert S.without_repeats(build([])).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_twins(build, partitions):
+    rng = random.Random(3)
+    text = "".join(rng.choices("abc def", k=700))
+    rows = [(20, text, "s")] * 3 + [(21, text[100:500], "s")] * 2 + [(22, "x" + text, "s"), (30, "z" * 99, "s")]
+    docs = build(rows, 4)
+    docs = docs.coalesce(1) if partitions == 1 else docs
+    assert plain(S.without_repeats(docs), *COLUMNS) == expected([(i, t) for i, t, _ in rows])
+
+
 def test_chunks(monkeypatch):
     monkeypatch.setattr(S, "CHUNK", 64)
     test_contexts_cover_every_string_once()
