@@ -130,12 +130,19 @@ class Codes:
         return values
 
 
+def _folded(raw: bytes) -> list[bytes]:
+    """Words, those of ASCII in lower case."""
+    if raw.isascii():
+        return raw.lower().split()
+    return [word.lower() if word.isascii() else word for word in raw.split()]
+
+
 class Encoder:
     """Ids of texts by the given tokenizer, words remembered as little-endian bytes.
 
-    Words are looked up in ASCII lower case, as the tokenizer lowers them anyway, and a word that ends in a letter and
-    punctuation is put together from both, which the tokenizer splits anyway. Texts that may
-    hold a special token go through the tokenizer as they are.
+    Words of ASCII are looked up in lower case, as the tokenizer lowers them anyway; other words stay as they are, because it
+    composes them before. A word that ends in a letter and punctuation is put together from both, which the
+    tokenizer splits anyway. Texts that may hold a special token go through the tokenizer as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -213,7 +220,7 @@ class Encoder:
         """Ids of each text."""
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        split = [None if b"<|" in raw else raw.lower().split() for raw in raws]
+        split = [None if b"<|" in raw else _folded(raw) for raw in raws]
         known = self.young
         missing = {w for w in set(chain.from_iterable(words for words in split if words)) if w not in known}
         if missing:

@@ -52,6 +52,9 @@ def test_words_equal_whole_texts(tokenizer, documents, monkeypatch):
     letters = "aAéÉñß.,;:!?'’ \n\t01²x́‍ \x1c\x85  <|>%$ſİΣς한ᄒ字🙂﻿"
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(1500)]
     texts += ["<|startoftext|> a", "<|STARTOFTEXT|>", "x<|endoftext|>.", "it's I'M. DON'T!", "é. É! İ?", "w" * 300 + "."]
+    # capitals whose mark composes with the small letter only
+    pairs = ["H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u030c"]
+    texts += [*pairs, *[f"x{p}Y {p}. A{p}B, {p.lower()}" for p in pairs], " ".join(pairs)]
     texts += [t for _, t in texts_of(documents) if t is not None]
     while texts:
         some, texts = texts[:7], texts[7:]
