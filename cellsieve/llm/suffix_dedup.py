@@ -17,8 +17,9 @@ Only suffixes that can have a partner are sorted together:
    first bytes. Adjacent common prefixes of 100 or more give the equal strings; the earliest stays.
 3. Covered ranges are merged per document and cut out.
 
-An anchor with more than ``HOT`` different contexts is dealt string by string (by hash of its 100 bytes) in step 2, so no slice
-grows with the corpus. Step 1 streams the sorted rows of an anchor without holding them.
+Of an anchor with more than ``HOT`` different contexts step 2 compares hashes of 128 bits of the single strings: the earliest of
+each comes from an aggregation combined map-side, the others from a join with it, so no slice and no task
+holds the occurrences of a string. Step 1 streams the sorted rows of an anchor without holding them.
 
 Defined results: null and empty texts have no bytes; shorter texts lose nothing; null ids come before all
 others; rows with one id are ordered by a hash of their texts; rows equal in id and text are one document and get one
@@ -321,9 +322,6 @@ def _cut_parts(batch: pa.RecordBatch) -> pa.RecordBatch:
             anchor = start + offset
             seed = item["anchor"] & 0xFFFFFFFFFFFFFFFF
             if hot:
-                for s in range(start, start + n):
-                    piece = raw[s:s + LENGTH]
-                    out.append((xxhash.xxh3_64_intdigest(piece, seed), o, tie, s, 1, piece))
                 continue
             middle = min(max(anchor - SIDE + 1, start), start + n)  # starts before it hold the left side
             if middle > start:
@@ -339,6 +337,44 @@ def _cut_parts(batch: pa.RecordBatch) -> pa.RecordBatch:
         ["key", "o", "tie", "base", "starts", "bytes"])
 
 
+STRINGS = "h1 long, h2 long, o long, tie long, lo long"
+
+
+def _cut_strings(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row per string of the open contexts of hot anchors."""
+    hashes, out = [], []
+    columns = [batch.column(n).to_pylist() for n in ("o", "tie", "wanted")]
+    for raw, o, tie, wanted in zip(raw_texts(batch.column("text")), *columns):
+        for item in wanted:
+            if item["hot"]:
+                start, n = item["place"] >> 16, item["place"] >> 8 & 0xFF
+                for s in range(start, start + n):
+                    hashes.append(xxhash.xxh3_128_digest(raw[s:s + LENGTH]))
+                    out.append((o, tie, s))
+    both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(both[:, 0]), pa.array(both[:, 1]), *[pa.array([r[i] for r in out], pa.int64()) for i in range(3)]],
+        ["h1", "h2", "o", "tie", "lo"])
+
+
+def _later(strings: DataFrame) -> DataFrame:
+    """Spans of all strings but the earliest of equal ones."""
+    first = strings.groupBy("h1", "h2").agg(
+        F.min(F.struct("o", "tie", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").select(
+        F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "first", "n")
+    first = write_table(first, "first")
+    same = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
+    if first.count() * 2 <= BROADCAST_ITEMS:
+        found = strings.join(F.broadcast(first), same)
+    else:
+        # strings that occur more than HOT times are at most one in HOT rows, the others are no large keys
+        often = F.broadcast(first.where(F.col("n") > HOT))
+        found = strings.join(often, same).unionByName(
+            strings.join(often, same, "left_anti").join(first.where(F.col("n") <= HOT), same))
+    return found.where(F.struct("o", "tie", "lo") != F.col("first")).select(
+        "o", "tie", "lo", (F.col("lo") + LENGTH).alias("hi"))
+
+
 def _spans_of(parts: list[tuple]) -> pa.RecordBatch:
     o, tie, base, starts = [np.array([p[i] for p in parts], np.int64) for i in range(4)]
     found = repeated_starts([p[4] for p in parts], starts, o, tie, base)
@@ -390,18 +426,20 @@ def removed_ranges(numbered: DataFrame) -> DataFrame:
         rows.repartition("anchor").sortWithinPartitions("anchor", "digest", "o", "tie", "place")
         .mapInArrow(_events, EVENTS), "events")
     opened = events.where("open").select("o", "tie", "place", "anchor")
-    hot = opened.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(
-        F.col("anchor").alias("_anchor"), F.lit(True).alias("hot"))
+    hot = write_table(opened.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(
+        F.col("anchor").alias("_anchor"), F.lit(True).alias("hot")), "hot")
     # at most one in HOT rows is a hot anchor
     marked = opened.join(F.broadcast(hot), F.col("anchor") == F.col("_anchor"), "left").select(
         "o", "tie", F.struct("place", "anchor", F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
     wanted = write_table(
         marked.groupBy("o", "tie").agg(F.collect_list("w").alias("wanted")).select(
             F.col("o").alias("_o"), F.col("tie").alias("_tie"), "wanted"), "wanted")
-    parts = in_arrow(
-        _beside_texts(numbered.dropDuplicates(["o", "tie"]) if _has_twins(numbered) else numbered, wanted)
-        .select("text", "o", "tie", "wanted"), _cut_parts, PARTS)
+    texts = _beside_texts(numbered.dropDuplicates(["o", "tie"]) if _has_twins(numbered) else numbered, wanted).select(
+        "text", "o", "tie", "wanted")
+    parts = in_arrow(texts, _cut_parts, PARTS)
     shared = parts.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_slices, SPANS)
+    if not hot.isEmpty():
+        shared = shared.unionByName(_later(write_table(in_arrow(texts, _cut_strings, STRINGS), "strings")))
     start, n = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(0xFF))
     whole = events.where("not open").select("o", "tie", start.alias("lo"), (start + n - 1 + LENGTH).alias("hi"))
     spans = whole.unionByName(shared).groupBy("o", "tie").agg(

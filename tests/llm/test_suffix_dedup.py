@@ -112,6 +112,33 @@ def test_twins(build, partitions):
     assert plain(S.without_repeats(docs), *COLUMNS) == expected([(i, t) for i, t, _ in rows])
 
 
+@pytest.mark.parametrize("items", [S.BROADCAST_ITEMS, 0])
+def test_no_task_holds_a_hot_string(build, monkeypatch, items):
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdef ", k=300))
+    rows = [(i, "".join(rng.choices("ghijkl ", k=150)) + passage + "".join(rng.choices("mnopqr ", k=150)), "s")
+            for i in range(200)]
+    monkeypatch.setattr(S, "HOT", 20)
+    monkeypatch.setattr(S, "BROADCAST_ITEMS", items)
+    plainly = S._sorted_slices
+
+    def bounded(batches):  # nested, so that it goes to the workers as it is
+        held = {}
+
+        def seen():
+            for batch in batches:
+                for key in batch.column("key").to_pylist():
+                    held[key] = held.get(key, 0) + 1
+                    if held[key] > 40:  # two sides of 20 contexts
+                        raise ValueError("a key holds more rows than HOT contexts have")
+                yield batch
+
+        yield from plainly(seen())
+
+    monkeypatch.setattr(S, "_sorted_slices", bounded)
+    assert plain(S.without_repeats(build(rows)), *COLUMNS) == expected([(i, t) for i, t, _ in rows])
+
+
 def test_chunks(monkeypatch):
     monkeypatch.setattr(S, "CHUNK", 64)
     test_contexts_cover_every_string_once()
