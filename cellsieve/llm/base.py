@@ -39,9 +39,12 @@ def in_arrow(docs: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
     return docs.mapInArrow(run, schema)
 
 
-def sliced(batch: pa.RecordBatch, limit: int = 1 << 24) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``limit`` bytes of text each, one row at least."""
-    text = next((c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)
+def sliced(batch: pa.RecordBatch, limit: int = 1 << 24, column: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``limit`` bytes of text each, one row at least.
+
+    Measured is ``column``, else the first string column.
+    """
+    text = batch.column(column) if column else next((c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)
                  or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type)), None)
     if batch.num_rows < 2 or text is None or batch.nbytes <= limit:
         yield batch

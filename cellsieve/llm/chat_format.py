@@ -124,7 +124,9 @@ def format_turns(turns: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, piece = object(), 0
         for whole in batches:
-            for batch in sliced(whole.select(["conv_id", "role", "text"])):
+            # either column may hold what is long
+            chosen = whole.select(["conv_id", "role", "text"])
+            for batch in (b for part in sliced(chosen, column="role") for b in sliced(part, column="text")):
                 ids = batch.column("conv_id").to_pylist()
                 changes = [i for i in range(1, len(ids)) if ids[i] != ids[i - 1]]
                 conv = np.zeros(len(ids), np.int64)

@@ -78,3 +78,18 @@ def test_template(spark):
     assert H.unescape(body.encode()).decode() == CONTROL
     chars = H.stored_chats(table(spark, ROWS[:2])).first()["formatted_chars"]
     assert chars == len(row["formatted"])
+
+
+@pytest.mark.parametrize("long", ["role", "text"])
+def test_batches_are_cut_by_the_long_column(spark, monkeypatch, long):
+    whole = H.assemble
+
+    def bounded(conv, role, text):  # nested, so that it goes to the workers as it is
+        if len(role) > 1 and max(sum(len(v or "") for v in c.to_pylist()) for c in (role, text)) > 1 << 24:
+            raise ValueError("a batch above 16 MB")
+        return whole(conv, role, text)
+
+    monkeypatch.setattr(H, "assemble", bounded)
+    other = "text" if long == "role" else "role"
+    turns = spark.range(0, 6, 1, 1).selectExpr("1L conv_id", "id turn", f"repeat('ab ', 2000000) {long}", f"'user' {other}")
+    assert H.format_turns(turns).agg({"n_turns": "sum"}).first()[0] == 6
