@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cellsieve.llm import (
-    chat_format, decontaminate, factor_machine, hash_tree, minhash_dedup, mixing, pii_bootstrap, quality_trees, sql,
+    chat_format, decontaminate, factor_machine, hash_tree, merkle, minhash_dedup, mixing, pii_bootstrap, quality_trees, sql,
     suffix_dedup, token_codes)
 from cellsieve.llm.base import read
 from suite.registry import Query
@@ -88,6 +88,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_report(read(spark, sf_dir, "documents"))
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(read(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
@@ -99,6 +104,7 @@ SQL |= {
     "op7_minhash_dedup": sql.op7(size=4, percent=80),
     "op9_chat_format": sql.op9(CONTROL),
     "op10_mix_sources": sql.op10(),
+    "op11_merkle_manifest": sql.op11(),
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

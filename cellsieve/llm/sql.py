@@ -195,3 +195,54 @@ WITH d AS (
 SELECT doc_id, p.size, t.s AS source_size, target, coalesce(taken, 0)::BIGINT AS taken
 FROM p JOIN t ON t.source IS NOT DISTINCT FROM p.source
 JOIN overlap o ON o.source IS NOT DISTINCT FROM p.source AND o.key = p.key AND o.size = p.size AND o.upto = p.upto"""
+
+
+# --- op11 ----------------------------------------------------------------------------------
+
+def _leaf(text: str) -> str:
+    fields = [f"{c}::VARCHAR" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _climb(name: str, start: str, levels: str, same: str) -> str:
+    """From the rows of ``start`` up the lists of hashes in ``levels``."""
+    run = "8 * (c.pos // 8)"
+    left = f"array_to_string(h[{run} + 1:c.pos], '')"
+    right = f"array_to_string(h[c.pos + 2:{run} + 8], '')"
+    return f"""{name} AS (
+    SELECT * FROM ({start})
+    UNION ALL SELECT c.r, c.lang, c.level + 1, c.pos // 8, sha256({left} || c.folded || {right}), c.siblings || {left} || {right}
+    FROM {name} c JOIN {levels} t ON t.level = c.level{same} WHERE len(h) > 1)"""
+
+
+def op11() -> str:
+    above = "list_transform(range((len(h) + 7) // 8), lambda i: sha256(array_to_string(h[8 * i + 1:8 * i + 8], '')))"
+    return rf"""
+WITH RECURSIVE crc AS ({CRC_TABLE}), b AS (
+    SELECT *, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes
+    FROM documents
+), d AS (
+    SELECT row_number() OVER () AS r, doc_id, lang, {_leaf('text')} AS leaf, CASE WHEN xor(list_reduce(
+        list_prepend(4294967295::BIGINT, bytes), lambda a, x: xor(a >> 8, tab[1 + (xor(a, x) & 255)])), 4294967295) % 3 = 0
+        THEN {_leaf(f"translate(text, '{CAPITALS}', '{SMALL}')")} ELSE {_leaf('text')} END AS claim FROM b, crc
+), p AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos FROM d
+), trees AS (
+    SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS h FROM p GROUP BY lang
+    UNION ALL SELECT lang, level + 1, {above} FROM trees WHERE len(h) > 1
+), subs AS (
+    SELECT lang, h[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS nth FROM trees WHERE len(h) = 1
+), tops AS (
+    SELECT 0 AS level, list(subroot ORDER BY nth) AS h FROM subs
+    UNION ALL SELECT level + 1, {above} FROM tops WHERE len(h) > 1
+), {_climb('low', "SELECT r, lang, 0 AS level, pos, claim AS folded, '' AS siblings FROM p", 'trees',
+           ' AND t.lang IS NOT DISTINCT FROM c.lang')
+}, subfolds AS (
+    SELECT DISTINCT ON (r) r, lang, folded, siblings FROM low ORDER BY r, level DESC
+), {_climb('high', 'SELECT r, s.lang, 0 AS level, nth AS pos, folded, siblings FROM subfolds f JOIN subs s '
+           'ON s.lang IS NOT DISTINCT FROM f.lang', 'tops', '')
+}, ends AS (
+    SELECT DISTINCT ON (r) r, folded, siblings FROM high ORDER BY r, level DESC
+)
+SELECT doc_id, leaf, subroot, h[1] AS root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = h[1] AS verified
+FROM p JOIN ends USING (r) JOIN subs ON subs.lang IS NOT DISTINCT FROM p.lang JOIN tops ON len(h) = 1"""
