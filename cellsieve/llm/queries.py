@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cellsieve.llm import (
-    chat_format, decontaminate, factor_machine, hash_tree, merkle, minhash_dedup, mixing, pii_bootstrap, quality_trees, sql,
+    byte_bpe, chat_format, decontaminate, factor_machine, hash_tree, merkle, minhash_dedup, mixing, pii_bootstrap, quality_trees, sql,
     suffix_dedup, token_codes)
 from cellsieve.llm.base import read
 from suite.registry import Query
@@ -93,6 +93,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(read(spark, sf_dir, "documents"))
 
 
+@query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(
+        read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -10,7 +10,8 @@ from . import test_decontaminate, test_minhash, test_mixing
 from .conftest import SF, texts_of
 
 NAMES = ("op1_pii_bootstrap op2_factor_machine op3_token_codes op4_hash_tree op5_decontaminate op6_suffix_dedup "
-         "op7_minhash_dedup op8_quality_trees op9_chat_format op10_mix_sources op11_merkle_manifest pipeline").split()
+         "op7_minhash_dedup op8_quality_trees op9_chat_format op10_mix_sources op11_merkle_manifest "
+         "op12_byte_bpe pipeline").split()
 
 
 def test_registered():
