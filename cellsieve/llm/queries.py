@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cellsieve.llm import (
-    byte_bpe, chat_format, decontaminate, factor_machine, hash_tree, merkle, minhash_dedup, mixing, pii_bootstrap, quality_trees, sql,
-    suffix_dedup, token_codes)
+    byte_bpe, chat_format, decontaminate, factor_machine, hash_tree, merkle, minhash_dedup, mixing, periodic_runs, pii_bootstrap, quality_trees,
+    sql, suffix_dedup, token_codes)
 from cellsieve.llm.base import read
 from suite.registry import Query
 
@@ -99,6 +99,11 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.collapsed_report(read(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

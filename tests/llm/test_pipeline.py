@@ -11,7 +11,7 @@ from .conftest import SF, texts_of
 
 NAMES = ("op1_pii_bootstrap op2_factor_machine op3_token_codes op4_hash_tree op5_decontaminate op6_suffix_dedup "
          "op7_minhash_dedup op8_quality_trees op9_chat_format op10_mix_sources op11_merkle_manifest "
-         "op12_byte_bpe pipeline").split()
+         "op12_byte_bpe op13_periodic_runs pipeline").split()
 
 
 def test_registered():
