@@ -11,17 +11,18 @@ similarity 0.8 miss all tables with a probability of 1.2e-6 for the default of 2
 3. In each table's bucket all nodes are tied to the smallest one (a star, never all pairs). Ties whose sizes differ too
    much or whose minima agree too seldom for the similarity asked for (six standard deviations below it) are dropped.
    The others give clusters. A bucket may hold several clusters: its centre can be a longer text with a passage
-   that shorter ones share. There the nodes outside the largest cluster are compared with all nodes of the
-   other clusters of their bucket by size and minima, in blocks of bounded size, and what they pass joins clusters.
+   that shorter ones share. What a centre refuses is tied to the smallest refused node of its bucket, in rounds over rows that
+   shrink. Clusters that still meet in a bucket are one *super-cluster*; there the nodes outside the largest cluster are
+   compared with those of all other clusters by size and minima, once per super-cluster and not once per bucket.
    So two nodes of one bucket that pass are in one cluster, whatever the centre is.
 4. Ties are verified on the full sets; verified ties give components. A cluster may hold several: two nodes can be alike
    without either being alike to the centre. There the nodes outside the largest component are compared with all nodes of
-   the other components of their cluster, on full sets, in blocks of bounded size. So no link is lost
-   to the choice of centres.
+   the other components of their cluster, on full sets. So no link is lost to the choice of centres.
 
+Comparisons run in blocks of bounded size. Blocks hold nodes of one band of set sizes, and only bands that can be alike meet.
 Groups of copies cost linear work: equal sets are one node, and nodes that a star has linked are not
-compared again. What is quadratic is only the number of nodes in one cluster that are not linked, and that of nodes in one
-bucket that no tie has brought into one cluster. Buckets with the same nodes are compared once.
+compared again; a node takes part in as many tasks as there are blocks of unlinked nodes in its own and the neighbouring bands, and
+the linked ones are not unlinked. What is quadratic is only the number of nodes of one (super-)cluster that are not linked.
 
 Defined results: null or empty texts have no shingles and are linked with nothing; fewer words than a shingle
 are one shingle; null ids sort after all others; rows with equal ids and texts are linked like any copies; an empty table gives
@@ -153,12 +154,8 @@ def _least(minima: int, percent: int) -> float:
     return minima * percent / 100 - 6 * (minima * percent / 100 * (1 - percent / 100)) ** 0.5
 
 
-def _stars(halves: DataFrame, nodes: DataFrame, minima: int, percent: int) -> DataFrame:
-    """``(centre, node)`` ties of all buckets, as a work table."""
-    keys = _keys(halves, "node")
-    centres = keys.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where(
-        "centre < last").select(F.col("key").alias("_key"), "centre")
-    ties = keys.join(centres, F.col("key") == F.col("_key")).where("node <> centre").select("centre", "node").distinct()
+def _near(ties: DataFrame, nodes: DataFrame, minima: int, percent: int) -> DataFrame:
+    """The ties whose sizes and minima allow the similarity, as a work table."""
     ends = nodes.select("node", "n", "sig")
     a = ends.select(F.col("node").alias("_a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     b = ends.select(F.col("node").alias("_b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
@@ -171,6 +168,18 @@ def _stars(halves: DataFrame, nodes: DataFrame, minima: int, percent: int) -> Da
     return write_table(near.select("centre", "node"), "ties")
 
 
+def _starred(rows: DataFrame) -> DataFrame:
+    """``key``, ``node`` and ``centre`` of all rows of buckets with several nodes, but for the centres."""
+    centres = rows.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where(
+        "centre < last").select(F.col("key").alias("_key"), "centre")
+    return rows.join(centres, F.col("key") == F.col("_key")).where("node <> centre").select("key", "node", "centre")
+
+
+def _stars(halves: DataFrame, nodes: DataFrame, minima: int, percent: int) -> DataFrame:
+    """``(centre, node)`` ties of all buckets, as a work table."""
+    return _near(_starred(_keys(halves, "node")).select("centre", "node").distinct(), nodes, minima, percent)
+
+
 def _verified(ties: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The ties whose full sets are alike."""
     a = texts.select(F.col("node").alias("_a"), F.col("text").alias("text_a"))
@@ -251,44 +260,90 @@ def _acyclic(linked: np.ndarray, comp: np.ndarray, rows: np.ndarray, own: bool)
     return out
 
 
-def _dealt(sized: DataFrame, block_nodes: int, block_bytes: int) -> DataFrame:
-    """Nodes of clusters with several components, once for each block comparison (``task``) they take part in."""
+def _dealt(sized: DataFrame, percent: int, block_nodes: int, block_bytes: int) -> DataFrame:
+    """Nodes of clusters with several components, once for each block comparison (``task``) they take part in.
+
+    Of ``cluster``, ``node``, ``comp``, ``n`` (set size) and ``bytes``. A cluster that fits into a block is one task. Else its largest
+    component (main) and the rest are cut into blocks by bands of set sizes, and every block of the rest meets itself and the other
+    blocks of its own and the neighbouring bands. ``other`` marks the nodes that are compared with those not marked, in tasks
+    that are not ``own``; those compare the nodes outside the main component with all.
+    """
     per_comp = sized.groupBy("cluster", "comp").agg(F.count("*").alias("nodes"), F.sum("bytes").alias("bytes"))
-    whole = per_comp.groupBy("cluster").agg(
+    whole = write_table(per_comp.groupBy("cluster").agg(
         F.count("*").alias("comps"), F.max(F.struct("nodes", "bytes", "comp")).alias("main"),
-        F.sum("nodes").alias("nodes"), F.sum("bytes").alias("bytes")).where("comps > 1")
-
-    def blocks(nodes: Column, size: Column) -> Column:
-        return F.greatest(F.ceil(nodes / block_nodes), F.ceil(size / block_bytes), F.lit(1)).cast("int")
-
-    plan = whole.select(
+        F.sum("nodes").alias("nodes"), F.sum("bytes").alias("bytes")).where("comps > 1").select(
         F.col("cluster").alias("_c"), F.col("main.comp").alias("_main"),
-        blocks(F.col("main.nodes"), F.col("main.bytes")).alias("n_main"),
-        blocks(F.col("nodes") - F.col("main.nodes"), F.col("bytes") - F.col("main.bytes")).alias("n_rest"))
-    rows = sized.join(plan, F.col("cluster") == F.col("_c"))
-    is_main = F.col("comp") == F.col("_main")
-    block = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("n_main")).otherwise(F.col("n_rest"))).cast("int")
-    rows = rows.select("cluster", "node", "comp", is_main.alias("is_main"), "n_main", "n_rest", block.alias("block"))
-    # tasks (main i, rest j) and (rest i, rest j) with i < j; the task (main 0, rest j) also compares rest j with itself
-    upto = lambda n: F.sequence(F.lit(0), n - 1)
-    with_main = F.when(
-        F.col("is_main"), F.transform(upto(F.col("n_rest")), lambda j: F.struct(
-            F.lit("m").alias("kind"), F.col("block").alias("x"), j.alias("y")))
-    ).otherwise(F.transform(upto(F.col("n_main")), lambda i: F.struct(
-        F.lit("m").alias("kind"), i.alias("x"), F.col("block").alias("y"))))
-    with_rest = F.when(
-        ~F.col("is_main") & (F.col("n_rest") > 1),
-        F.transform(F.filter(upto(F.col("n_rest")), lambda j: j != F.col("block")), lambda j: F.struct(
-            F.lit("r").alias("kind"), F.least(j, F.col("block")).alias("x"), F.greatest(j, F.col("block")).alias("y"))),
-    ).otherwise(F.array().cast("array<struct<kind:string,x:int,y:int>>"))
-    return rows.select("cluster", "node", "comp", "is_main", "block", F.explode(F.concat(with_main, with_rest)).alias("task"))
+        ((F.col("nodes") <= block_nodes) & (F.col("bytes") <= block_bytes)).alias("fits")), "several")
+
+    def small(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+    # a little more than the ratio of sizes that can be alike, so that rounding loses none
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100.1 / percent))).cast("int")
+    rows = sized.join(small(whole), F.col("cluster") == F.col("_c")).select(
+        "cluster", "node", "comp", "bytes", "fits", (F.col("comp") == F.col("_main")).alias("is_main"), band.alias("band"))
+    fitting = rows.where("fits").select(
+        "cluster", "node", "comp", "is_main", F.lit("all").alias("task"), F.lit(True).alias("own"), F.lit(False).alias("other"))
+
+    large = rows.where("not fits")
+    blocks = F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("bytes") / block_bytes)).cast("int")
+    sizes = large.groupBy("cluster", "band", "is_main").agg(blocks.alias("blocks"))
+    # blocks of the own and the neighbouring bands, at the row of every band
+    near = sizes.select("cluster", "is_main", F.col("band").alias("of"), "blocks", F.explode(
+        F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    plan = write_table(near.groupBy("cluster", "band").agg(F.collect_list(F.struct("is_main", "of", "blocks")).alias("near")).select(
+        F.col("cluster").alias("_c"), F.col("band").alias("_b"), "near"), "plan")
+
+    def name(is_main: Column, of: Column, nth: Column) -> Column:
+        return F.concat_ws(":", F.when(is_main, "m").otherwise("r"), of, nth)
+
+    own_blocks = F.filter("near", lambda x: (x["of"] == F.col("band")) & (x["is_main"] == F.col("is_main")))[0]["blocks"]
+    placed = large.join(small(plan), (F.col("cluster") == F.col("_c")) & (F.col("band") == F.col("_b"))).withColumn(
+        "block", name(F.col("is_main"), F.col("band"), F.pmod(F.xxhash64("node"), own_blocks)))
+    # a main block meets blocks of the rest only
+    partners = F.flatten(F.transform(
+        F.filter("near", lambda x: ~(x["is_main"] & F.col("is_main"))),
+        lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda k: name(x["is_main"], x["of"], k))))
+    met = placed.withColumn("partner", F.explode(partners))
+    return fitting.unionByName(met.select(
+        "cluster", "node", "comp", "is_main",
+        F.concat_ws("|", F.least("block", "partner"), F.greatest("block", "partner")).alias("task"),
+        (F.col("block") == F.col("partner")).alias("own"), (F.col("block") > F.col("partner")).alias("other")))
+
+
+def _rounds(members: DataFrame, nodes: DataFrame, minima: int, percent: int) -> list[DataFrame]:
+    """Ties of what a bucket's centre has refused to the smallest refused node, and so on.
+
+    A round drops each bucket's centre and what is tied to it. Rounds go on while they drop at least half of the rows; what
+    is left then is compared in super-clusters.
+    """
+    first = members.groupBy("key").agg(F.min(F.struct("node", "comp")).alias("first")).select(
+        F.col("key").alias("_key"), F.col("first.comp").alias("_comp"))
+    rows = write_table(members.join(first, F.col("key") == F.col("_key")).where("comp <> _comp").select("key", "node"), "refused")
+    left, found = rows.count(), []
+    while left:
+        starred = _starred(rows)
+        tied = _near(starred.select("centre", "node").distinct(), nodes, minima, percent)
+        if tied.isEmpty():
+            break
+        found.append(tied)
+        passed = tied.select(F.col("centre").alias("_a"), F.col("node").alias("_b"))
+        rows = write_table(starred.join(
+            passed, (F.col("centre") == F.col("_a")) & (F.col("node") == F.col("_b")), "left_anti").select("key", "node"), "refused")
+        before, left = left, rows.count()
+        if 2 * left > before:
+            break
+    return found
 
 
 def _across_clusters(halves: DataFrame, ties: DataFrame, nodes: DataFrame, minima: int, percent: int) -> DataFrame:
     """``ties``, and ties that join the clusters of a bucket where its star has left several."""
-    roots = components(ties, "centre", "node").select(F.col("node").alias("_n"), "root")
-    placed = _keys(halves.join(roots, F.col("node") == F.col("_n"), "left").select(
-        "node", F.coalesce("root", "node").alias("comp"), "left", "right"), "node", "comp")
+    def with_comp(rows: DataFrame, ties: DataFrame, *columns: str) -> DataFrame:
+        roots = components(ties, "centre", "node").select(F.col("node").alias("_n"), "root")
+        return rows.join(roots, F.col("node") == F.col("_n"), "left").select(
+            "node", F.coalesce("root", "node").alias("comp"), *columns)
+
+    placed = _keys(with_comp(halves, ties, "left", "right"), "node", "comp")
     # the star has compared the nodes of a bucket of two; of buckets with the same nodes one is enough
     digest = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"d{k}") for k in range(2)]
     mixed = placed.groupBy("key").agg(
@@ -299,24 +354,35 @@ def _across_clusters(halves: DataFrame, ties: DataFrame, nodes: DataFrame, minim
     if not rows:
         return ties
     side = F.broadcast(mixed) if rows <= BROADCAST_ROWS else mixed
-    members = write_table(placed.join(side, F.col("key") == F.col("_key"), "left_semi").select(
-        F.col("key").alias("cluster"), "node", "comp", F.lit(4 * minima).cast("long").alias("bytes")), "members")
-    dealt = _dealt(members, BLOCK_SIGNED, 4 * minima * BLOCK_SIGNED).join(
+    members = write_table(placed.join(side, F.col("key") == F.col("_key"), "left_semi"), "members")
+    found = _rounds(members, nodes, minima, percent)
+    for more in found:
+        ties = ties.unionByName(more)
+    if found:
+        members = write_table(with_comp(members.select("key", "node"), ties, "key"), "members")
+
+    # clusters that meet in a bucket, by a star over clusters
+    least = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(
+        F.col("key").alias("_key"), "lo")
+    meet = members.join(least, F.col("key") == F.col("_key")).where("comp <> lo").select("lo", "comp").distinct()
+    supers = components(meet, "lo", "comp").select(F.col("node").alias("_comp"), F.col("root").alias("cluster"))
+    sized = write_table(members.select("node", "comp").distinct().join(supers, F.col("comp") == F.col("_comp")).join(
+        nodes.select(F.col("node").alias("_n"), "n"), F.col("node") == F.col("_n")).select(
+        "cluster", "node", "comp", "n", F.lit(4 * minima).cast("long").alias("bytes")), "placed")
+    dealt = _dealt(sized, percent, BLOCK_SIGNED, 4 * minima * BLOCK_SIGNED).join(
         nodes.select(F.col("node").alias("_t"), "n", "sig"), F.col("node") == F.col("_t")).select(
-        "cluster", "task.kind", "task.x", "task.y", "node", "comp", "is_main", "block", "n", "sig")
+        "cluster", "task", "node", "comp", "is_main", "own", "other", "n", "sig")
 
     def compare(table: pa.Table) -> pa.Table:
-        node, comp, sizes, block = [table.column(c).to_numpy() for c in ("node", "comp", "n", "block")]
+        node, comp, sizes = [table.column(c).to_numpy() for c in ("node", "comp", "n")]
         sigs = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, minima)
-        x = table.column("x")[0].as_py()
-        if table.column("kind")[0].as_py() == "m":
-            found = near_forest(sizes, sigs, comp, ~table.column("is_main").to_numpy(), x == 0, percent)
-        else:
-            found = near_forest(sizes, sigs, comp, block == x, False, percent)
+        own = table.column("own")[0].as_py()
+        rest = ~table.column("is_main").to_numpy() if own else table.column("other").to_numpy()
+        found = near_forest(sizes, sigs, comp, rest, own, percent)
         return pa.table({"centre": pa.array([node[a] for a, _ in found], pa.int64()),
                          "node": pa.array([node[b] for _, b in found], pa.int64())})
 
-    more = dealt.groupBy("cluster", "kind", "x", "y").applyInArrow(compare, "centre long, node long").distinct()
+    more = dealt.groupBy("cluster", "task").applyInArrow(compare, "centre long, node long").distinct()
     return ties.unionByName(write_table(more, "ties"))
 
 
@@ -332,23 +398,21 @@ def _between_components(ties: DataFrame, links: DataFrame, texts: DataFrame, shi
     placed = cluster.join(comp, F.col("node") == F.col("_n"), "left").select(
         "node", "cluster", F.coalesce("comp", "node").alias("comp"))
     sized = write_table(placed.join(
-        texts.select(F.col("node").alias("_t"), F.octet_length("text").cast("long").alias("bytes")),
+        texts.select(F.col("node").alias("_t"), "n", F.octet_length("text").cast("long").alias("bytes")),
         F.col("node") == F.col("_t")).drop("_t"), "placed")
-    dealt = _dealt(sized, BLOCK_NODES, BLOCK_BYTES)
+    dealt = _dealt(sized, percent, BLOCK_NODES, BLOCK_BYTES)
     dealt = dealt.join(texts.select(F.col("node").alias("_t"), "text"), F.col("node") == F.col("_t")).select(
-        "cluster", "task.kind", "task.x", "task.y", "node", "comp", "is_main", "block", "text")
+        "cluster", "task", "node", "comp", "is_main", "own", "other", "text")
     shingles = Shingles(shingle)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         sets = [shingles(t.encode()) for t in frame["text"]]
-        comp, node = frame["comp"].to_numpy(), frame["node"].to_numpy()
-        if frame["kind"].iloc[0] == "m":
-            found = forest(sets, comp, ~frame["is_main"].to_numpy(bool), int(frame["x"].iloc[0]) == 0, percent)
-        else:
-            found = forest(sets, comp, (frame["block"] == frame["x"]).to_numpy(bool), False, percent)
+        comp, node, own = frame["comp"].to_numpy(), frame["node"].to_numpy(), bool(frame["own"].iloc[0])
+        rest = ~frame["is_main"].to_numpy(bool) if own else frame["other"].to_numpy(bool)
+        found = forest(sets, comp, rest, own, percent)
         return pd.DataFrame({"centre": [node[a] for a, _ in found], "node": [node[b] for _, b in found]}, dtype="int64")
 
-    return dealt.groupBy("cluster", "kind", "x", "y").applyInPandas(compare, "centre long, node long")
+    return dealt.groupBy("cluster", "task").applyInPandas(compare, "centre long, node long")
 
 
 def _report(docs: DataFrame, shingle: int, percent: int, tables: int, rows: int) -> DataFrame:
@@ -367,13 +431,13 @@ def _report(docs: DataFrame, shingle: int, percent: int, tables: int, rows: int)
     ties = _across_clusters(halves, _stars(halves, nodes, minima, percent), nodes, minima, percent)
     tied = ties.select(F.col("centre").alias("node")).union(ties.select("node")).distinct()
     wanted = write_table(nodes.join(tied, "node").select(
-        "node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "wanted")
+        "node", "n", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "wanted")
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # few documents have a tie; texts of the others stay where they are while the list is small
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = write_table(
         given.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
-        .groupBy("node").agg(F.first("text").alias("text")), "texts")
+        .groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text")), "texts")
     links = _verified(ties, texts, shingle, percent)
     more = write_table(_between_components(ties, links, texts, shingle, percent), "links")
     roots = components(links.unionByName(more), "centre", "node")

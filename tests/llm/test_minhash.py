@@ -83,6 +83,60 @@ def test_short_pair_among_longer_texts(build, monkeypatch, longer, block):
     assert got == {i: 9000 if i == 9001 else i for i, _, _ in rows}
 
 
+@pytest.mark.parametrize("copies_", [500, 2000])
+def test_rows_grow_with_a_group_of_copies(spark, monkeypatch, copies_):
+    """Graded copies of one text: what is listed and dealt stays within a constant times the nodes."""
+    rng = random.Random(copies_)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(copies_):
+        text = list(base)
+        for _ in range(rng.randint(0, 4)):
+            text[rng.randrange(80)] = f"c{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    counted = {"members": 0, "refused": 0, "dealt": 0}
+    write, deal = N.write_table, N._dealt
+
+    def writing(df, name, *path):
+        out = write(df, name, *path)
+        if name in counted:
+            counted[name] += out.count()
+        return out
+
+    def dealing(*given):
+        out = write(deal(*given), "dealt")
+        counted["dealt"] = max(counted["dealt"], out.count())
+        return out
+
+    monkeypatch.setattr(N, "write_table", writing)
+    monkeypatch.setattr(N, "_dealt", dealing)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert N.near_duplicates(docs, shingle=4).count() == copies_
+    assert counted["dealt"] <= 6 * copies_ and counted["members"] <= 400 * copies_ and counted["refused"] <= 100 * copies_, counted
+
+
+def test_bands_keep_what_can_be_alike(spark, monkeypatch):
+    """Every pair of different components that sizes allow meets in one task, at least one of them outside the main one."""
+    monkeypatch.setattr(N, "BROADCAST_ROWS", 0)
+    rng = random.Random(9)
+    rows = [(1, i, 0 if i % 3 else i, rng.choice([8, 10, 12, 15, 20, 25, 100, 125]), 10) for i in range(120)]
+    dealt = N._dealt(spark.createDataFrame(rows, "cluster long, node long, comp long, n long, bytes long"), 80, 7, 1000).collect()
+    met = {}
+    for r in dealt:
+        met.setdefault(r["task"], []).append(r)
+    pairs = set()
+    for task in met.values():
+        assert len(task) < 60
+        for a in task:
+            for b in task:
+                if (a["own"] and not a["is_main"]) or (a["other"] and not b["other"]):
+                    pairs.add(frozenset((a["node"], b["node"])))
+    for _, a, ca, na, _ in rows:
+        for _, b, cb, nb, _ in rows:
+            if ca != cb and 5 * min(na, nb) >= 4 * max(na, nb):
+                assert frozenset((a, b)) in pairs
+
+
 def test_near_forest_equals_pairs():
     rng = np.random.default_rng(2)
     sigs = np.where(rng.random((40, 120)) < 0.8, 1, rng.integers(2, 1 << 20, (40, 120))).astype(np.int32)
