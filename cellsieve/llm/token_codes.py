@@ -12,8 +12,9 @@ hold the documents in ascending order of id, null first.
 
 Documents are dealt to tasks by ranges of ids, each sorts its own (Spark spills where needed) and encodes
 them as a stream. Words between white space are encoded alone and remembered, at most
-twice ``REMEMBERED`` of them: the tokenizer's normaliser and splitting never look across white space
-(tested against whole texts).
+``REMEMBERED`` of them and those of one slice: the tokenizer's normaliser and splitting never look across white space
+(tested against whole texts). A slice's words are split and numbered in Arrow, looked up once per different word, and
+their ids gathered from one array.
 
 Defined results: a null or empty text has the end id only; equal ids are ordered by a hash of the text;
 an empty table gives an empty result; only ``doc_id`` and ``text`` are read.
@@ -22,31 +23,34 @@ an empty table gives an empty result; only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import os
+import re
+import string
 import struct
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellsieve.llm.base import raw_texts, sliced
+from cellsieve.llm.base import sliced
 from cellsieve.scratch import new_path, remove_at_exit
 
 END_ID = 2
 SEGMENT_IDS = 1 << 20
-REMEMBERED = 300_000
-#: Longer words are encoded without being remembered.
-LONG_WORD = 64
+REMEMBERED = 800_000
+#: Ids of remembered words.
+REMEMBERED_IDS = 1 << 23
 #: Bytes of text that are encoded together.
-SLICE = 1 << 21
+SLICE = 1 << 22
 BLOCK_BITS = 512
 MAGIC = b"DAC1"
-ENDINGS = b".,;:!?"
+PUNCTUATION = string.punctuation.encode()
+#: Letters that no normal form changes and whose small ones are found alike everywhere.
+PLAIN_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 SEGMENTS = (
     "part int, segment int, start long, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, codes binary"
@@ -130,19 +134,89 @@ class Codes:
         return values
 
 
-def _folded(raw: bytes) -> list[bytes]:
-    """Words, those of ASCII in lower case."""
-    if raw.isascii():
-        return raw.lower().split()
-    return [word.lower() if word.isascii() else word for word in raw.split()]
+def _visible_bytes() -> dict[int, str]:
+    """The characters by which byte-level models show bytes: printable Latin-1 ones as they are, the others from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class Words:
+    """Ids of words in flat arrays, found by the word's number."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.hits = np.zeros(1024, bool)  # met again in a later slice
+        self.ids, self.used = np.zeros(4096, np.uint32), 0
+
+    def _room(self, name: str, size: int) -> None:
+        held = getattr(self, name)
+        if size > len(held):
+            grown = np.zeros(max(size, 2 * len(held)), held.dtype)
+            grown[:len(held)] = held
+            setattr(self, name, grown)
+
+    def add(self, words: list[bytes], ids: list[list[int]]) -> None:
+        """New words with their ids."""
+        if not words:
+            return
+        first, stop = len(self.number), len(self.number) + len(words)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        upto = self.used + int(sizes.sum())
+        for name, size in (("starts", stop), ("sizes", stop), ("hits", stop), ("ids", upto)):
+            self._room(name, size)
+        self.number.update(zip(words, range(first, stop)))
+        self.sizes[first:stop] = sizes
+        self.starts[first:stop] = self.used + np.cumsum(sizes) - sizes
+        self.hits[first:stop] = False
+        self.ids[self.used:upto] = np.fromiter(chain.from_iterable(ids), np.uint32, upto - self.used)
+        self.used = upto
+
+    def join(self, words: list[bytes], parts: list[list[bytes]]) -> None:
+        """New words with the ids of known ones in a row; ``parts`` are as many lists of words."""
+        at = np.stack([np.fromiter(map(self.number.__getitem__, p), np.int64, len(p)) for p in parts], axis=1)
+        ids, ends = self.gathered(at.ravel())
+        first, stop, upto = len(self.number), len(self.number) + len(words), self.used + len(ids)
+        for name, size in (("starts", stop), ("sizes", stop), ("hits", stop), ("ids", upto)):
+            self._room(name, size)
+        self.number.update(zip(words, range(first, stop)))
+        ends = ends[len(parts) - 1::len(parts)]
+        self.sizes[first:stop] = np.diff(ends, prepend=0)
+        self.starts[first:stop] = self.used + ends - self.sizes[first:stop]
+        self.hits[first:stop] = False
+        self.ids[self.used:upto] = ids
+        self.used = upto
+
+    def gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in a row, and where each word ends."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(total) + np.repeat(self.starts[numbers] - (ends - sizes), sizes)], ends
+
+    def forget(self) -> "Words":
+        """Only the words met again, or nothing where these are most."""
+        keep = np.flatnonzero(self.hits[:len(self.number)])
+        out = Words()
+        if 4 * len(keep) > 3 * REMEMBERED:
+            return out
+        names = list(self.number)
+        ids, ends = self.gathered(keep)
+        out.number = {names[k]: i for i, k in enumerate(keep.tolist())}
+        out.sizes = self.sizes[keep]
+        out.starts = ends - out.sizes
+        out.hits, out.ids, out.used = np.zeros(len(keep), bool), ids, len(ids)
+        return out
 
 
 class Encoder:
-    """Ids of texts by the given tokenizer, words remembered as little-endian bytes.
+    """Ids of texts by the given tokenizer.
 
-    Words of ASCII are looked up in lower case, as the tokenizer lowers them anyway; other words stay as they are, because it
-    composes them before. A word that ends in a letter and punctuation is put together from both, which the
-    tokenizer splits anyway. Texts that may hold a special token go through the tokenizer as they are.
+    Words of ASCII are looked up in lower case, as the tokenizer lowers them anyway, and so are words of Latin letters, which it
+    does not compose; other words stay as they are, because it composes them before it lowers them. A word that ends in a letter and
+    punctuation is put together from both, which the tokenizer splits anyway. Texts that may hold a special token go
+    through the tokenizer as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -151,9 +225,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # words met lately, and those met before; a word met again moves up, the others are forgotten in time
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.known = Words()
+        self.shown = _visible_bytes()
         model = self.tokenizer.model
         suffix = getattr(model, "end_of_word_suffix", None)
         size = self.tokenizer.get_vocab_size()
@@ -161,81 +234,107 @@ class Encoder:
         self.ends = np.array([suffix in (self.tokenizer.id_to_token(i) or "") for i in range(size)]) if suffix else None
         probes = [*"abcdefghijklmnopqrstuvwxyz", "word", "tokenizers", "dont", "zzyzx", "abcdefghijklmnopqrstuvwxyz"]
         #: whether words of small ASCII letters pass normaliser and splitting unchanged
-        self.direct = array("I").itemsize == 4 and sys.byteorder == "little" and all(
-            [t.id for t in model.tokenize(p)] == self.tokenizer.encode(p, add_special_tokens=False).ids for p in probes)
+        self.direct = self._passes(probes)
+        #: whether words of other small Latin letters pass as the bytes of UTF-8
+        self.direct_bytes = self.direct and self._passes([chr(c) for c in range(0xDF, 0x100) if c != 0xF7] + ["größe", "élève", "añoüé"])
 
-    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+    def _passes(self, words: list[str]) -> bool:
+        return all(self._model(w.encode()) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in words)
+
+    def _model(self, word: bytes) -> list[int]:
+        """Ids of a word by the tokenizer's model alone."""
+        text = word.decode() if word.isascii() else word.decode("latin-1").translate(self.shown)
+        return [t.id for t in self.tokenizer.model.tokenize(text)]
+
+    def _encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word.
 
-        Small ASCII letters go to the tokenizer's model at once where that was found to be the same. Other words of letters
+        Small Latin letters go to the tokenizer's model at once where that was found to be the same. Other words of letters
         stay whole, so they go as one text and are told apart by their ends.
         """
-        found: list[bytes] = [b""] * len(words)
-        model, letters, rest = self.tokenizer.model, [], []
+        found: list[list[int]] = [[]] * len(words)
+        letters, rest = [], []
         for i, word in enumerate(words):
             if self.direct and word.isalpha():  # of bytes: ASCII letters, here small ones
-                found[i] = array("I", [t.id for t in model.tokenize(word.decode())]).tobytes()
+                found[i] = self._model(word)
+            elif self.direct_bytes and PLAIN_LETTERS.fullmatch(word.decode()):
+                found[i] = self._model(word)
             elif self.ends is not None and word.decode().lower().isalpha():
                 letters.append(i)
             else:
                 rest.append(i)
-        ids = np.frombuffer(self._encode([" ".join([words[i].decode() for i in letters])])[0], "<u4")
+        ids = np.array(self._encode([" ".join([words[i].decode() for i in letters])])[0], np.uint32)
         stops = (np.flatnonzero(self.ends[ids]) + 1).tolist() if letters else []
         if len(stops) == len(letters):
-            raw = ids.tobytes()
+            whole = ids.tolist()
             for i, a, b in zip(letters, [0, *stops], stops):
-                found[i] = raw[4 * a:4 * b]
+                found[i] = whole[a:b]
         else:
             rest += letters
         for i, got in zip(rest, self._encode([words[i].decode() for i in rest])):
             found[i] = got
         return found
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn(self, words: set[bytes]) -> None:
-        young, old = self.young, self.old
-        halves: dict[bytes, tuple[bytes, bytes]] = {}
-        fresh: set[bytes] = set()
-        for word in words:
-            if word in old:
-                young[word] = old[word]
-                continue
-            core = word.rstrip(ENDINGS)
-            if core and len(core) < len(word) and core.decode().lower()[-1].isalpha():
-                halves[word] = core, word[len(core):]
-                fresh.update(halves[word])
-            else:
-                fresh.add(word)
-        for word in [w for w in fresh if w in young or w in old]:
-            young.setdefault(word, old.get(word, b""))
-            fresh.discard(word)
-        young.update(zip(fresh, self._encode_words(list(fresh))))
-        for word, (core, end) in halves.items():
-            young[word] = young[core] + young[end]
-
-    def __call__(self, raws: list[bytes]) -> list[bytes]:
-        """Ids of each text."""
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        split = [None if b"<|" in raw else _folded(raw) for raw in raws]
-        known = self.young
-        missing = {w for w in set(chain.from_iterable(words for words in split if words)) if w not in known}
-        if missing:
-            self._learn(missing)
-        found = [
-            self._encode([raw.decode()])[0] if words is None else b"".join(map(known.__getitem__, words))
-            for raw, words in zip(raws, split)
-        ]
-        for word in missing:
-            if len(word) > LONG_WORD:
-                known.pop(word, None)
-                known.pop(word.rstrip(ENDINGS), None)
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _parts(self, word: bytes) -> tuple[bytes, ...]:
+        """A word as it is looked up: in lower case where that changes nothing, punctuation at its end apart."""
+        if word.isalpha():  # of bytes: ASCII letters
+            return (word.lower(),)
+        core = word.rstrip(PUNCTUATION)
+        end = word[len(core):]
+        if word.isascii():
+            core = core.lower()
+        elif PLAIN_LETTERS.fullmatch(core.decode()):
+            core = core.decode().lower().encode()
+        if core and end and (core[-1:].isalpha() or core.decode().lower()[-1].isalpha()):
+            return core, end
+        return (core + end,)
+
+    def _learn(self, words: list[bytes]) -> None:
+        known = self.known.number
+        parts = [self._parts(w) for w in words]
+        fresh = [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in known]
+        self.known.add(fresh, self._encode_words(fresh))
+        left = [(w, p) for w, p in zip(words, parts) if w not in known]
+        for n in (1, 2):
+            some = [(w, p) for w, p in left if len(p) == n]
+            if some:
+                self.known.join([w for w, _ in some], [[p[k] for _, p in some] for k in range(n)])
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; null has none."""
+        if len(self.known.number) > REMEMBERED or self.known.used > REMEMBERED_IDS:
+            self.known = self.known.forget()
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        split = pc.ascii_split_whitespace(pc.if_else(pa.array(special), "", texts))
+        words = pc.dictionary_encode(split.flatten())
+        several = _split(words.dictionary)
+        numbers = np.fromiter(map(self.known.number.get, several, repeat(-1)), np.int64, len(several))
+        missing = np.flatnonzero(numbers < 0)
+        self.known.hits[numbers[numbers >= 0]] = True
+        if len(missing):
+            self._learn([several[k] for k in missing.tolist()])
+            numbers[missing] = [self.known.number[several[k]] for k in missing.tolist()]
+        ids, ends = self.known.gathered(numbers[words.indices.to_numpy()])
+        per_text = np.cumsum(pc.list_value_length(split).to_numpy())
+        stops = np.concatenate([[0], ends])[per_text].tolist()
+        found = [ids[a:b] for a, b in zip([0, *stops], stops)]
+        for i in np.flatnonzero(special).tolist():
+            found[i] = np.array(self._encode([texts[i].as_py()])[0], np.uint32)
         return found
 
 
+def _split(words: pa.Array) -> list[bytes]:
+    """Words without blanks as bytes: one text of all, cut again, is several times faster than one by one."""
+    if not len(words):
+        return []
+    row = pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words.cast(pa.large_binary()))
+    return pc.binary_join(row, pa.scalar(b" ", pa.large_binary()))[0].as_py().split(b" ")
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -270,12 +369,11 @@ def write_codes(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID
                 ["part", "segment", "start", "n_tokens", "doc_ids", "lengths", "codes"])
 
         for batch in batches:
-            for slice_ in sliced(batch, SLICE):
-                for doc_id, got in zip(slice_.column(0).to_pylist(), encode(raw_texts(slice_.column(1)))):
-                    got += end
+            for slice_ in sliced(batch, SLICE, "text"):
+                for doc_id, got in zip(slice_.column(0).to_pylist(), encode(slice_.column(1))):
                     doc_ids.append(doc_id)
-                    lengths.append(len(got) // 4)
-                    ids.append(got)
+                    lengths.append(len(got) + 1)
+                    ids += [got.astype("<u4").tobytes(), end]
                     held += lengths[-1]
                     if held >= SEGMENT_IDS:
                         yield closed()
