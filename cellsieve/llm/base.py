@@ -24,8 +24,8 @@ def word_count(text: Column) -> Column:
 
 
 def in_arrow(docs: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType,
-             limit: int = 1 << 24) -> DataFrame:
-    """One output batch per input batch of about ``limit`` bytes of the first string column at most.
+             limit: int = 1 << 24, column: str | None = None) -> DataFrame:
+    """One output batch per input batch of about ``limit`` bytes of ``column`` (else the first string column) at most.
 
     Arrow batches hold a number of rows whatever their length, so very long texts
     are handed on in smaller slices.
@@ -33,7 +33,7 @@ def in_arrow(docs: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, limit):
+            for part in sliced(batch, limit, column):
                 yield work(part)
 
     return docs.mapInArrow(run, schema)

@@ -198,4 +198,4 @@ def keep_good(docs: DataFrame, trees: Trees | None) -> DataFrame:
         found = statistics_of(raw_texts(batch.column(text_at)))
         return batch.filter(pa.array(_judged(found, trees)[2]))
 
-    return in_arrow(docs, work, docs.schema)
+    return in_arrow(docs, work, docs.schema, column="text")
