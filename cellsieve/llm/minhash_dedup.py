@@ -311,15 +311,15 @@ def _dealt(sized: DataFrame, percent: int, block_nodes: int, block_bytes: int) -
         (F.col("block") == F.col("partner")).alias("own"), (F.col("block") > F.col("partner")).alias("other")))
 
 
-def _rounds(members: DataFrame, nodes: DataFrame, minima: int, percent: int) -> list[DataFrame]:
-    """Ties of what a bucket's centre has refused to the smallest refused node, and so on.
+def _rounds(met: DataFrame, nodes: DataFrame, minima: int, percent: int) -> list[DataFrame]:
+    """Ties of the clusters that a bucket's centre has refused to the smallest of them, each by its smallest node there.
 
     A round drops each bucket's centre and what is tied to it. Rounds go on while they drop at least half of the rows; what
     is left then is compared in super-clusters.
     """
-    first = members.groupBy("key").agg(F.min(F.struct("node", "comp")).alias("first")).select(
+    first = met.groupBy("key").agg(F.min(F.struct("node", "comp")).alias("first")).select(
         F.col("key").alias("_key"), F.col("first.comp").alias("_comp"))
-    rows = write_table(members.join(first, F.col("key") == F.col("_key")).where("comp <> _comp").select("key", "node"), "refused")
+    rows = write_table(met.join(first, F.col("key") == F.col("_key")).where("comp <> _comp").select("key", "node"), "refused")
     left, found = rows.count(), []
     while left:
         starred = _starred(rows)
@@ -338,12 +338,15 @@ def _rounds(members: DataFrame, nodes: DataFrame, minima: int, percent: int) ->
 
 def _across_clusters(halves: DataFrame, ties: DataFrame, nodes: DataFrame, minima: int, percent: int) -> DataFrame:
     """``ties``, and ties that join the clusters of a bucket where its star has left several."""
-    def with_comp(rows: DataFrame, ties: DataFrame, *columns: str) -> DataFrame:
-        roots = components(ties, "centre", "node").select(F.col("node").alias("_n"), "root")
-        return rows.join(roots, F.col("node") == F.col("_n"), "left").select(
+    def with_comp(rows: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
+        return rows.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left").select(
             "node", F.coalesce("root", "node").alias("comp"), *columns)
 
-    placed = _keys(with_comp(halves, ties, "left", "right"), "node", "comp")
+    def small(table: DataFrame, rows: int | None = None) -> DataFrame:
+        return F.broadcast(table) if (table.count() if rows is None else rows) <= BROADCAST_ROWS else table
+
+    roots = components(ties, "centre", "node")
+    placed = _keys(with_comp(halves, roots, "left", "right"), "node", "comp")
     # the star has compared the nodes of a bucket of two; of buckets with the same nodes one is enough
     digest = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"d{k}") for k in range(2)]
     mixed = placed.groupBy("key").agg(
@@ -353,20 +356,23 @@ def _across_clusters(halves: DataFrame, ties: DataFrame, nodes: DataFrame, minim
     rows = mixed.count()
     if not rows:
         return ties
-    side = F.broadcast(mixed) if rows <= BROADCAST_ROWS else mixed
-    members = write_table(placed.join(side, F.col("key") == F.col("_key"), "left_semi"), "members")
-    found = _rounds(members, nodes, minima, percent)
+    # a row per bucket and cluster, with the cluster's smallest node there; never one per bucket and node
+    met = write_table(placed.join(small(mixed, rows), F.col("key") == F.col("_key"), "left_semi").groupBy("key", "comp").agg(
+        F.min("node").alias("node")), "met")
+    found = _rounds(met, nodes, minima, percent)
     for more in found:
         ties = ties.unionByName(more)
     if found:
-        members = write_table(with_comp(members.select("key", "node"), ties, "key"), "members")
+        # a cluster is named by one of its nodes
+        roots = components(ties, "centre", "node")
+        met = write_table(with_comp(met.select("key", F.col("comp").alias("node")), roots, "key").select("key", "comp"), "met")
 
     # clusters that meet in a bucket, by a star over clusters
-    least = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(
+    least = met.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(
         F.col("key").alias("_key"), "lo")
-    meet = members.join(least, F.col("key") == F.col("_key")).where("comp <> lo").select("lo", "comp").distinct()
+    meet = met.join(least, F.col("key") == F.col("_key")).where("comp <> lo").select("lo", "comp").distinct()
     supers = components(meet, "lo", "comp").select(F.col("node").alias("_comp"), F.col("root").alias("cluster"))
-    sized = write_table(members.select("node", "comp").distinct().join(supers, F.col("comp") == F.col("_comp")).join(
+    sized = write_table(with_comp(halves, roots).join(small(supers), F.col("comp") == F.col("_comp")).join(
         nodes.select(F.col("node").alias("_n"), "n"), F.col("node") == F.col("_n")).select(
         "cluster", "node", "comp", "n", F.lit(4 * minima).cast("long").alias("bytes")), "placed")
     dealt = _dealt(sized, percent, BLOCK_SIGNED, 4 * minima * BLOCK_SIGNED).join(
