@@ -356,9 +356,10 @@ def _across_clusters(halves: DataFrame, ties: DataFrame, nodes: DataFrame, minim
     rows = mixed.count()
     if not rows:
         return ties
-    # a row per bucket and cluster, with the cluster's smallest node there; never one per bucket and node
-    met = write_table(placed.join(small(mixed, rows), F.col("key") == F.col("_key"), "left_semi").groupBy("key", "comp").agg(
-        F.min("node").alias("node")), "met")
+    # a row per bucket and cluster, with the cluster's smallest node there: combined before buckets are looked up, so that
+    # a large cluster is a row of each task and not its nodes
+    met = write_table(placed.groupBy("key", "comp").agg(F.min("node").alias("node")).join(
+        small(mixed, rows), F.col("key") == F.col("_key"), "left_semi"), "met")
     found = _rounds(met, nodes, minima, percent)
     for more in found:
         ties = ties.unionByName(more)
