@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -13,14 +14,15 @@ from pyspark.sql import types as T
 from cellsieve.functions.text import blank_missing, safe_str
 from cellsieve.plans.rowid import position_in_file, tag_scan
 from cellsieve.scratch import write_table
+from cellsieve.sources.csv_records import csv_records, numbered_heads
 
 # Delimiters considered, sample size and preview length.
 DELIMITERS = ",;\t|"
 FALLBACK_DELIMITER = ","
 SNIFF_CHARS = 8192
 PEEK_ROWS = 12
-# Lines kept for a header whose cells hold line breaks.
-HEADER_LINES = 64
+# Lines looked at per record of a preview.
+PEEK_LINES = 64
 
 _OVERFLOW = "_overflow"
 # The JVM's names of the encodings in use.
@@ -52,21 +54,22 @@ def _file_heads(
     def sniff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         samples: dict[str, list[str]] = {}
         sizes: dict[str, int] = {}
+        filled: dict[str, int] = {}
         for batch in batches:
             for file, found in batch.groupby("path", sort=False)["line"]:
                 kept = samples.setdefault(file, [])
                 for line in found:
-                    # a header may be longer than the sniffer's sample
-                    if sizes.get(file, 0) >= SNIFF_CHARS and len(kept) > header_row + HEADER_LINES:
+                    if sizes.get(file, 0) >= SNIFF_CHARS and filled.get(file, 0) > header_row:
                         break
                     kept.append(_decoded(line))
                     sizes[file] = sizes.get(file, 0) + len(kept[-1]) + 1
+                    filled[file] = filled.get(file, 0) + bool(kept[-1].strip())
         out = []
         for file, kept in samples.items():
             sep = delimiter or sniff_delimiter("\n".join(kept) + "\n")
             kept[:1] = [kept[0].lstrip("\ufeff")]
-            records = [r for r in csv.reader([f"{line}\n" for line in kept], delimiter=sep) if any(c.strip() for c in r)]
-            out.append((file, sep, records[header_row] if len(records) > header_row else None))
+            full = [line for line in kept if line.strip()]
+            out.append((file, sep, _cells(full[header_row], sep) if len(full) > header_row else None))
         if out:
             yield pd.DataFrame(out, columns=["path", "delimiter", "header"])
 
@@ -79,6 +82,10 @@ def _file_heads(
     )
 
 
+def _cells(record: str, delimiter: str) -> list[str]:
+    return next(csv.reader(io.StringIO(record, newline=""), delimiter=delimiter), [])
+
+
 def _decoded(line: bytes) -> str:
     try:
         return line.decode("utf-8")
@@ -131,28 +138,47 @@ def scan_csv(
     """All cells as text, missing as the empty string, no value read as null.
 
     Files that differ in dialect or header are read group by group and united by
-    column name. Files with line breaks in cells are one task's input each, the others are split. Records with too many fields are an error, short ones are
+    column name. Large files are split, also those with line breaks in cells. Records with too many fields are an error, short ones are
     filled up. Rows above *header_row* are dropped from every file.
     """
     groups: dict[tuple, list[str]] = {}
+    broken: dict[tuple, list[str]] = {}
     for file in _file_heads(spark, path, header_row, delimiter).collect():  # one row per file
+        dialect = (file["delimiter"], encoding or file["encoding"])
+        if file["quoted_breaks"]:
+            broken.setdefault(dialect, []).append(file["path"])
+            continue
         if file["header"] is None:
-            raise ValueError(f"no header: {file['path']} has fewer than {header_row + 1} lines")
-        key = (file["delimiter"], encoding or file["encoding"], tuple(repair_names(file["header"])), file["quoted_breaks"])
-        groups.setdefault(key, []).append(file["path"])
-    if not groups:
+            raise _no_header(file["path"], header_row)
+        groups.setdefault((*dialect, tuple(repair_names(file["header"]))), []).append(file["path"])
+    if not groups and not broken:
         raise ValueError(f"no CSV lines under {path}")
     parts = [_scan_group(spark, files, *key, header_row) for key, files in sorted(groups.items())]
+    for key, files in sorted(broken.items()):
+        parts += _scan_broken(spark, files, *key, header_row)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
     return out.select(*[safe_str(F.col(f"`{c}`")).alias(c) for c in out.columns])
 
 
-def _scan_group(spark, files, delimiter, encoding, names, quoted_breaks, header_row) -> DataFrame:
+def _no_header(path: str, header_row: int) -> ValueError:
+    return ValueError(f"no header: {path} has fewer than {header_row + 1} lines")
+
+
+def _schema(names: Sequence[str]) -> T.StructType:
     # Values beyond the header land in an extra field.
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _OVERFLOW]])
-    reader = _reader(spark, delimiter, encoding).schema(schema).option("multiLine", bool(quoted_breaks))
+    return T.StructType([T.StructField(n, T.StringType()) for n in [*names, _OVERFLOW]])
+
+
+def _checked(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    too_long = F.raise_error(F.lit("CSV record has more fields than the header")).cast("boolean")
+    rows = rows.where(F.when(F.col(_OVERFLOW).isNotNull(), too_long).otherwise(F.lit(True)))
+    return rows.select(*[blank_missing(safe_str(F.col(f"`{n}`"))).alias(n) for n in names])
+
+
+def _scan_group(spark, files, delimiter, encoding, names, header_row) -> DataFrame:
+    reader = _reader(spark, delimiter, encoding).schema(_schema(names))
     if header_row == 0:
         rows = reader.option("header", True).csv(list(files))
     else:
@@ -160,9 +186,37 @@ def _scan_group(spark, files, delimiter, encoding, names, quoted_breaks, header_
         # reader cannot number rows: the scan is stored once, tags included.
         tagged = write_table(tag_scan(reader.csv(list(files))), "csv")
         rows = position_in_file(tagged).where(F.col("_pos") > header_row)
-    too_long = F.raise_error(F.lit("CSV record has more fields than the header")).cast("boolean")
-    rows = rows.where(F.when(F.col(_OVERFLOW).isNotNull(), too_long).otherwise(F.lit(True)))
-    return rows.select(*[blank_missing(safe_str(F.col(f"`{n}`"))).alias(n) for n in names])
+    return _checked(rows, names)
+
+
+def _scan_broken(spark, files, delimiter, encoding, header_row) -> list[DataFrame]:
+    """Files with line breaks in cells, a table for each header."""
+    records = write_table(csv_records(spark, files, delimiter, _CHARSETS.get(encoding.lower(), encoding)), "csv-records")
+    heads = numbered_heads(records, header_row + 1).where(F.col("nth") == header_row + 1)
+    groups: dict[tuple, list[tuple]] = {}
+    found = set()
+    for head in heads.collect():  # one row per file
+        found.add(head["path"])
+        names = tuple(repair_names(_cells(head["record"].lstrip("\ufeff"), delimiter)))
+        groups.setdefault(names, []).append((head["path"], head["start"], head["line"]))
+    for file in files:
+        if file not in found:
+            raise _no_header(file, header_row)
+    out = []
+    for names, of in sorted(groups.items()):
+        # as many rows as there are files
+        side = F.broadcast(spark.createDataFrame(of, "_path string, _start long, _line long"))
+        below = records.join(side, F.col("path") == F.col("_path")).where(
+            F.struct("start", "line") > F.struct("_start", "_line"))
+        options = {"sep": delimiter, "quote": '"', "escape": '"'}
+        rows = below.select(F.from_csv("record", _ddl(names), options).alias("r"))
+        out.append(_checked(rows.select("r.*"), names))
+    return out
+
+
+def _ddl(names: Sequence[str]) -> str:
+    quoted = [n.replace("`", "``") for n in [*names, _OVERFLOW]]
+    return ", ".join(f"`{n}` string" for n in quoted)
 
 
 def peek_rows(
@@ -177,7 +231,7 @@ def peek_rows(
     filled = F.length(F.btrim("value")) > 0
     try:
         # so many lines at most hold a preview of records with some line breaks
-        lines = spark.read.text(path).where(filled).select(F.col("value").cast("binary").alias("v")).head(n * HEADER_LINES)
+        lines = spark.read.text(path).where(filled).select(F.col("value").cast("binary").alias("v")).head(n * PEEK_LINES)
         raw = b"".join(bytes(r["v"]) + b"\n" for r in lines)
         text = raw.decode(encoding) if encoding else _decoded(raw)
     except Exception:  # a preview degrades to nothing
