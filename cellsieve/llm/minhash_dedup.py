@@ -357,9 +357,9 @@ def _across_clusters(halves: DataFrame, ties: DataFrame, nodes: DataFrame, minim
     if not rows:
         return ties
     # a row per bucket and cluster, with the cluster's smallest node there: combined before buckets are looked up, so that
-    # a large cluster is a row of each task and not its nodes
+    # a large cluster is a row of each task and not its nodes (a semi-join would be moved below the aggregation)
     met = write_table(placed.groupBy("key", "comp").agg(F.min("node").alias("node")).join(
-        small(mixed, rows), F.col("key") == F.col("_key"), "left_semi"), "met")
+        small(mixed, rows), F.col("key") == F.col("_key")).drop("_key"), "met")
     found = _rounds(met, nodes, minima, percent)
     for more in found:
         ties = ties.unionByName(more)
