@@ -542,9 +542,16 @@ def unwrapped(spark, sf):
 
 @query("scan_xml", as_text("customer", CUSTOMER))
 def from_xml(spark, sf):
-    path = new_path(spark, "customer-xml")
-    table(spark, sf, "customer").write.format("xml").options(rootTag="customers", rowTag="customer").save(path)
-    return xml_files.scan_xml(spark, path, "customers.customer")
+    """One layout with the records below the root, one where the record's tag also stands at another path."""
+    flat, deep = new_path(spark, "customer-xml"), new_path(spark, "archive-xml")
+    customers, building = table(spark, sf, "customer"), F.col("c_mktsegment") == "BUILDING"
+    customers.where(~building).write.format("xml").options(rootTag="customers", rowTag="customer").save(flat)
+    blocks = customers.where(building).groupBy("c_nationkey", F.pmod(F.hash("c_custkey"), F.lit(64)).alias("block")).agg(
+        F.struct(F.collect_list(F.struct(*CUSTOMER)).alias("customer")).alias("customers"), F.count("*").alias("n"))
+    note = F.struct(F.concat(F.lit("listed: "), "n").alias("customer")).alias("note")
+    blocks.select(note, "customers").write.format("xml").options(rootTag="archive", rowTag="block").save(deep)
+    return xml_files.scan_xml(spark, flat).select(*CUSTOMER).unionByName(
+        xml_files.scan_xml(spark, deep, "archive.block.customers.customer").select(*CUSTOMER))
 
 
 @query("xml_children_to_columns", """SELECT CAST(p_partkey AS VARCHAR) AS "@id", p_name AS name, p_type AS tag FROM part""")
