@@ -6,7 +6,7 @@ import re
 import string
 import unicodedata
 import warnings
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +104,47 @@ def test_strptime(spark, fmt):
         assert got[i][0] == shown, (fmt, v)
 
 
+NAMED = ["%d %b %Y", "%B %d, %Y", "%a %d %b %Y %H:%M:%S", "%A, %d. %B %y", "%I:%M %p", "%Y-%m-%d %I:%M:%S.%f%p", "%Y-%j", "%j %H",
+         "%Y-%m-%dT%H:%M:%S%z", "%d %b %Y %H:%M %z", "%z %Y", "%Y%j%z", "%p %H:%M", "%y%B", "%b %d", "%Y %b %j"]
+
+
+@pytest.mark.parametrize("fmt", NAMED)
+def test_named_formats_and_offsets(spark, fmt):
+    """Local and UTC time against CPython, without a Python worker in the plan."""
+    rng = random.Random(fmt)
+    offsets = ["Z", "z", "+0130", "-23:59", "+24:00", "+9959", "-00:00", "+01:30:45", "+013045", "+01:3045", "+0130:45", "-05:00:01.25", "+05"]
+    values = ["29 Feb 2023", "29 feb 2024", "Feb 29", "\u017fep 1", "1 \u017fep 2024", "2023-366", "9999-366", "2024-366", "0000-001",
+              "0001-01-01T00:00:00+0100", "9999-12-31T23:59:59-0100", "12:00 am", "12:30 PM", "00:10 am", "2024-02-30T00:00:00Z"]
+    for _ in range(400):
+        moment = datetime(rng.choice([1, 999, 1900, 1969, 2000, 2023, 9999]), rng.randint(1, 12), rng.randint(1, 28),
+                          rng.randint(0, 23), rng.randint(0, 59), rng.randint(0, 59), rng.randint(0, 999999))
+        v = moment.strftime(fmt.replace("%Y", f"{moment.year:04}").replace("%z", rng.choice(offsets)))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            at = rng.randint(0, len(v))
+            v = v[:at] + rng.choice(list("0123456789 -/:T.+Zaj|") + ["", ""]) + v[at + rng.randint(0, 1):]
+        values.append(rng.choice([v, v, v.upper(), v.swapcase()]))
+    assert dates.plan_format(fmt).kind == "parts"
+    shape = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    both = [F.date_format(f(F.col("v"), fmt), shape) for f in (dates.strptime, dates.strptime_utc)]
+    found = evaluate(spark, values, F.array(*both))
+    got = [tuple(found[i][0]) for i in range(len(values))]
+    parsed = 0
+    for v, (local, utc) in zip(values, got):
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            want = py(lambda s: datetime.strptime(s, fmt), v)
+        want_utc = None
+        if want is not None and want.tzinfo is not None:
+            try:
+                want_utc = want.astimezone(timezone.utc).replace(tzinfo=None)
+            except OverflowError:
+                want_utc = want.replace(tzinfo=None)
+        show = lambda m: m and f"{m.year:04}-" + m.strftime("%m-%d %H:%M:%S.%f")
+        assert (local, utc) == (show(want), show(want_utc)), (fmt, v)
+        parsed += want is not None
+    assert parsed > 50
+
+
 PATTERNS = [
     r"[A-Z]+", r"^[A-B0-9-]{2,5}$", r"\d{2,3}", r"\w+@\w+\.com", r"(?P<a_b>x|y)(?P=a_b)", r"a.c", r"[[a]+", r"[a&&b]+",
     r"\s+x\S*", r"x\Z", r"(a)(b)?\1", r"[^\s]+", r"a|bc", r"(?:ab)*", r"\x41é", r"[]a]+", r"a$", r"(?i)abc", r"a{2}b*?c+",

@@ -43,6 +43,16 @@ def test_generated_methods_stay_compilable(spark, stored):
     assert sizes and max(map(int, sizes)) < 8000
 
 
+def test_named_dates_and_offsets_stay_in_the_jvm(spark, stored):
+    spec = DatasetSpec.of(
+        C("i", "integer"), C("d", "date", rules={"formats": ["%d %b %Y", "%A, %d. %B %y"], "min_date": "01 Jan 2020"}),
+        C("n", "datetime", rules={"formats": ["%Y-%m-%dT%H:%M:%S%z", "%I:%M %p"]}))
+    issues = cell_issues(stored, spec)
+    assert "EvalPython" not in explain(spark, issues)
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", explain(spark, issues, "codegen"))
+    assert all(int(size) < 8000 for size in sizes)
+
+
 def test_method_size_does_not_grow_with_columns(spark):
     def size(n):
         df = spark.range(1).select(F.col("id").alias("row"), *[F.lit(str(i)).alias(f"c{i}") for i in range(n)])
