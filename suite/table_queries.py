@@ -586,6 +586,17 @@ def xml_paths(spark, sf):
     return found.select(F.col("path").cast("bigint").alias("order_key"), "record_path", "n_children")
 
 
+@query("file_record_paths", """SELECT 'customers.customer' AS record_path, count(*) AS n_children FROM customer UNION ALL
+    SELECT 'orders.order', count(*) FROM orders""")
+def xml_file_paths(spark, sf):
+    """Files of two layouts, large ones read by several tasks."""
+    root = new_path(spark, "layouts")
+    table(spark, sf, "customer").write.format("xml").options(rootTag="customers", rowTag="customer").save(f"{root}/a")
+    table(spark, sf, "orders").write.format("xml").options(rootTag="orders", rowTag="order").save(f"{root}/b")
+    found = xml_files.file_record_paths(spark, f"{root}/*")
+    return found.groupBy("record_path").agg(F.sum("n_children").alias("n_children"))
+
+
 @query("save_raw", as_text("supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]))
 def raw_saved(spark, sf):
     root = new_path(spark, "raw")
