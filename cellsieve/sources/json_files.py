@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellsieve.functions.text import blank_missing
+from cellsieve.scratch import new_path, remove_at_exit
+from cellsieve.sources.json_records import json_records
 
 # Keys under which an object may hold its records, in order.
 WRAPPER_KEYS = ("data", "records", "rows", "items", "results", "values")
@@ -64,22 +66,19 @@ def scan_json(
     """Records of JSON documents (or of JSON Lines, which can be split).
 
     A document is an array of objects, an object wrapping a list of records, or a
-    single object. That is found out file by file, and files of one layout are read together. Lines are
-    records as they are. *columns* fixes the column order; readers sort by name. With a *schema* of the objects
-    (documents: of one layout) the pass that finds it out is saved.
+    single object. That is found out file by file, and files of one layout are read together. Of documents larger than a
+    split, all splits cut the records out, one line each and in order; only a single object or a list of plain
+    values is one task's input. Lines are records as they are. *columns* fixes the column order; readers sort by
+    name. With a *schema* of the objects (documents: of one layout) types are not looked for.
     """
     if lines:
         parts = [_scan_layout(spark, path, None, True, schema)]
     else:
-        groups: dict[str | None, list[str]] = {}
-        for file in _layouts(spark, path).collect():  # one row per file
-            if file["layout"] == "other":
-                raise ValueError(f"a JSON document must be an array of objects or an object: {file['path']}")
-            groups.setdefault(file["layout"], []).append(file["path"])
-        if not groups:
+        groups, cut = _grouped(spark, path)
+        if not groups and not cut:
             raise ValueError(f"no JSON documents under {path}")
-        order = sorted(groups, key=lambda layout: (layout is not None, layout))
-        parts = [_scan_layout(spark, groups[layout], layout, False, schema) for layout in order]
+        parts = [_scan_layout(spark, files, layout, False, schema) for layout, files in _in_order(groups)]
+        parts += [_scan_layout(spark, files, None, True, _record_schema(schema, layout)) for layout, files in _in_order(cut)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
@@ -87,6 +86,47 @@ def scan_json(
     return out.select(*[f"`{c}`" for c in columns]) if columns else out
 
 
+Groups = dict[str | None, list[str]]
+
+
+def _in_order(groups: Groups) -> list[tuple[str | None, list[str]]]:
+    return sorted(groups.items(), key=lambda group: (group[0] is not None, group[0]))
+
+
+def _record_schema(schema: T.StructType | None, layout: str | None) -> T.StructType | None:
+    return schema if schema is None or layout is None else schema[layout].dataType.elementType
+
+
+def _grouped(spark: SparkSession, path: str | Sequence[str]) -> tuple[Groups, Groups]:
+    """Files by layout: documents read as they are, and folders with the records of large ones, one line each."""
+    listed = spark.read.format("binaryFile").load(path).select(
+        "path", F.col("_metadata.file_path").alias("file"), "length").collect()  # one row per file; contents are not read
+    by_file = {row["file"]: row["path"] for row in listed}
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    large = [row["path"] for row in listed if row["length"] > split]
+    small = [row["path"] for row in listed if row["length"] <= split]
+    groups: Groups = {}
+    apart: Groups = {}
+    found = _layouts(spark, small).withColumn("apart", F.lit(False)).collect() if small else []  # one row per file
+    records = None
+    if large:
+        told, records = json_records(spark, large, WRAPPER_KEYS)
+        found += told.collect()
+    for file in found:
+        if file["layout"] == "other":
+            raise ValueError(f"a JSON document must be an array of objects or an object: {file['path']}")
+        (apart if file["apart"] else groups).setdefault(file["layout"], []).append(file["path"])
+    cut: Groups = {}
+    for layout, files in apart.items():
+        target = new_path(spark, "json-records")
+        remove_at_exit(spark, target)
+        # outside of strings, where no line break can stand, one is a blank
+        line = F.translate("record", "\r\n", "  ").alias("value")
+        records.where(F.col("path").isin(*files)).sort("path", "start", "line").select(line).write.text(target)
+        cut[layout] = [target]
+    return {layout: [by_file[file] for file in files] for layout, files in groups.items()}, cut
+
+
 def _layouts(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """``path, layout``: the key under which an object holds its list, null for arrays and plain objects.
 
