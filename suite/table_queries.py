@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellsieve import ColumnSpec, DatasetSpec, cell_issues, validate
 from cellsieve.operators import infer, match, summary, tables, views
@@ -13,6 +14,7 @@ from cellsieve.scratch import new_path
 from cellsieve.sinks import exports
 from cellsieve.sinks.stored import save_issues, save_raw, save_run
 from cellsieve.sources import csv_files, json_files, stored, xml_files
+from cellsieve.sources.json_records import json_records
 from cellsieve.streaming.checks import stream_issues, write_issues
 from suite.dirty import (
     CELL_SPEC,
@@ -377,7 +379,7 @@ def types(spark, sf):
 HEADERS = """(SELECT concat(p_brand, '/', p_type) AS dataset_id, p_partkey AS pos,
     CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat(' ', p_name) ELSE p_name END AS name FROM part)"""
 COLUMNS = """(SELECT p_type AS template_id, replace(p_name, ' ', '_') AS "column", min(p_size) % 2 = 1 AS required,
-    p_name AS alias, min(p_partkey) AS col_pos FROM part WHERE p_size <= 20 GROUP BY p_type, p_name)"""
+    p_name AS alias, min(p_partkey) AS col_pos FROM part GROUP BY p_type, p_name)"""
 PAIRS = "(SELECT DISTINCT concat(p_brand, '/', p_type) AS dataset_id, p_type AS template_id FROM part)"
 
 
@@ -390,7 +392,7 @@ def catalog(spark, sf):
         .otherwise(F.col("p_name"))
     )
     headers = part.select(dataset, F.col("p_partkey").alias("pos"), name.alias("name"))
-    columns = part.where("p_size <= 20").groupBy(F.col("p_type").alias("template_id"), "p_name").agg(
+    columns = part.groupBy(F.col("p_type").alias("template_id"), "p_name").agg(
         (F.min("p_size") % 2 == 1).alias("required"), F.min("p_partkey").alias("col_pos")
     )
     named = F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))
@@ -525,7 +527,55 @@ def from_json(spark, sf):
     return json_files.scan_json(spark, path, lines=True)
 
 
-@query("json_unwrap_records", """SELECT event_id, json_extract_string(props, '$.k') AS k FROM events UNION ALL
+def customer_documents(spark, sf):
+    """A folder of documents, one per market segment, of three layouts; no task holds a document."""
+    path = new_path(spark, "customer-json")
+    segment = F.col("c_mktsegment")
+    record = F.to_json(F.struct(
+        "c_custkey", "c_name", "c_acctbal", (F.col("c_acctbal") > 0).alias("solvent"),
+        F.struct(F.col("c_nationkey").alias("nation"), F.array(F.struct(F.lit("}, {").alias("k"))).alias("data")).alias("home"),
+        F.when(segment != "BUILDING", segment).alias("segment")))
+    head = (
+        F.when(segment == "BUILDING", F.lit("["))
+        .when(segment == "MACHINERY", F.lit('{"about": {"rows": [{"k": 1}]}, "values": [{"k": 2}], "records": ['))
+        .otherwise(F.lit('{"results": ["no records"], "data": ['))
+    )
+    tail = F.when(segment == "BUILDING", F.lit("]")).otherwise(F.lit('], "items": []}'))
+    customers = table(spark, sf, "customer")
+    first = customers.groupBy(segment.alias("_segment")).agg(F.min("c_custkey").alias("_first"))
+    body = customers.join(first, segment == F.col("_segment")).select(
+        segment, F.col("c_custkey").alias("at"), F.concat(F.when(F.col("c_custkey") > F.col("_first"), ", ").otherwise(head), record).alias("value"))
+    ends = first.select(F.col("_segment").alias("c_mktsegment")).select("c_mktsegment", F.lit(None).cast("bigint").alias("at"), tail.alias("value"))
+    body.unionByName(ends).repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", F.asc_nulls_last("at")).select(
+        "c_mktsegment", "value").write.partitionBy("c_mktsegment").text(path)
+    return f"{path}/*"
+
+
+JSON_CUSTOMERS = """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_acctbal AS VARCHAR) AS c_acctbal,
+    CASE WHEN c_acctbal > 0 THEN 'True' ELSE 'False' END AS solvent,
+    concat('{"nation":"', CAST(c_nationkey AS VARCHAR), '","data":[{"k":"}, {"}]}') AS home,
+    CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE c_mktsegment END AS segment FROM customer"""
+
+
+@query("scan_json_documents", JSON_CUSTOMERS)
+def from_json_documents(spark, sf):
+    columns = ["c_custkey", "c_name", "c_acctbal", "solvent", "home", "segment"]
+    found = json_files.scan_json(spark, customer_documents(spark, sf), columns=columns)
+    # the reader sorts the keys of nested objects by name
+    home = F.regexp_replace("home", r'^\{("data":.*),("nation":"\d+")\}$', r"{$2,$1}")
+    return found.withColumn("home", home)
+
+
+@query("json_document_records", """SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'array' WHEN 'MACHINERY' THEN 'records'
+    ELSE 'data' END AS layout FROM customer""")
+def json_document_records(spark, sf):
+    """Records as all splits of the documents find them."""
+    told, records = json_records(spark, [customer_documents(spark, sf)], json_files.WRAPPER_KEYS)
+    return records.join(told.where("apart"), "path").select(
+        F.from_json("record", "c_custkey long")["c_custkey"].alias("c_custkey"), F.coalesce("layout", F.lit("array")).alias("layout"))
+
+
+@query("unwrap_json_column", """SELECT event_id, json_extract_string(props, '$.k') AS k FROM events UNION ALL
     SELECT event_id, CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'click'""")
 def unwrapped(spark, sf):
     """Clicks hold two records under ``data``, errors one under ``rows``."""
@@ -540,6 +590,21 @@ def unwrapped(spark, sf):
     return json_files.unwrap_json_column(events, "document", "k string", ["event_id"])
 
 
+@query("json_unwrap_records", """SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id,
+    CASE WHEN event_type = 'click' THEN 'True' ELSE 'False' END AS clicked FROM events UNION ALL
+    SELECT CAST(event_id AS VARCHAR), '', '' FROM events WHERE event_type = 'click'""")
+def unwrapped_objects(spark, sf):
+    """Objects of one layout: a list of one record, of two for clicks, of which the second has one key only."""
+    clicked = F.col("event_type") == "click"
+    document = F.concat(
+        F.lit('{"n": 1, "rows": ['), F.to_json(F.struct("event_id", "user_id", clicked.alias("clicked"))),
+        F.when(clicked, F.concat(F.lit(", "), F.to_json(F.struct("event_id")))).otherwise(F.lit("")), F.lit("]}"))
+    shape = "n {0}, rows array<struct<event_id: {0}, user_id: {0}, clicked: {1}>>"
+    parsed = table(spark, sf, "events").select(F.from_json(document, shape.format("string", "string")).alias("_d")).select("_d.*")
+    native = T._parse_datatype_string(shape.format("bigint", "boolean"))
+    return json_files.json_unwrap_records(parsed, native, "rows")
+
+
 @query("scan_xml", as_text("customer", CUSTOMER))
 def from_xml(spark, sf):
     """One layout with the records below the root, one where the record's tag also stands at another path."""
