@@ -116,21 +116,23 @@ def place(docs: DataFrame, tree: ShardTree, seed: str = "s0") -> DataFrame:
 def with_slots(placed: DataFrame) -> DataFrame:
     """Adds ``slot``: the documents of a shard numbered from 0 without gaps.
 
-    The order inside a shard is by hash cell, then id, checksum and size.
+    The order inside a shard is by hash cell, then id, checksum and size. Equal rows are counted per input partition
+    before they are shuffled, and the counts are opened to rows again after the numbering, so that no task gets more
+    equal rows than one partition held.
     """
     shown = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_crc32", "size")
     cell = F.substring(F.md5(shown), 1, CELL_DIGITS)
-    rows = placed.withColumn("_cell", cell)
+    rows = placed.withColumn("_cell", cell).withColumn("_part", F.spark_partition_id())
+    equal = rows.groupBy(*placed.columns, "_cell", "_part").agg(F.count("*").alias("_n"))
     counts = rows.groupBy("shard", "_cell").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     # at most 4096 rows a shard
     bases = counts.select(
         F.col("shard").alias("_shard"), F.col("_cell").alias("_of"),
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("shard", "_cell").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.withColumn("_at", F.row_number().over(within))
-    return (
-        numbered.join(F.broadcast(bases), (F.col("shard") == F.col("_shard")) & (F.col("_cell") == F.col("_of")))
-        .withColumn("slot", (F.col("_base") + F.col("_at") - 1).cast("long"))
-        .drop("_cell", "_base", "_at", "_shard", "_of")
-    )
+    within = Window.partitionBy("shard", "_cell").orderBy("doc_id", "text_crc32", "size", "_part").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    numbered = equal.withColumn("_end", F.sum("_n").over(within))
+    based = numbered.join(F.broadcast(bases), (F.col("shard") == F.col("_shard")) & (F.col("_cell") == F.col("_of")))
+    last = F.col("_base") + F.col("_end") - 1
+    return based.select(*placed.columns, F.explode(F.sequence(last - F.col("_n") + 1, last)).alias("slot"))

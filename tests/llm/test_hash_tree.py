@@ -58,6 +58,20 @@ def test_edges(build, documents):
     assert H.with_slots(H.place(build([]), TREE)).count() == 0
 
 
+def test_many_equal_rows(spark):
+    """Equal rows reach the numbering as one row per partition."""
+    rows = spark.range(0, 100_000, 1, 6).selectExpr("cast(null as bigint) doc_id", "'x' text").unionByName(
+        spark.range(500).selectExpr("id doc_id", "'y' text"))
+    slotted = H.with_slots(H.place(rows, TREE))
+    got = slotted.groupBy("shard").agg(
+        F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.min("slot").alias("lo"), F.max("slot").alias("hi")).collect()
+    assert sum(r["n"] for r in got) == 100_500
+    assert all((r["n"], r["lo"], r["hi"]) == (r["d"], 0, r["n"] - 1) for r in got)
+    plan = slotted._jdf.queryExecution().optimizedPlan().toString()
+    window, generate = plan.index("Window [sum(_n"), plan.index("Generate explode(sequence")
+    assert generate < window < plan.index("count(1) AS _n")  # printed from the last step to the first
+
+
 def test_placement_needs_no_shuffle(documents):
     plan = documents.select(H.shard_of(F.col("doc_id"), TREE))._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Python" not in plan
