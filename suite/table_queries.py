@@ -493,11 +493,12 @@ def dialects(spark, sf):
     customers = table(spark, sf, "customer").withColumn("c_name", F.concat("c_name", F.lit("é")))
     for segment, sep in SEPARATORS.items():
         charset = "ISO-8859-1" if segment == "MACHINERY" else "UTF-8"
-        part = customers.where(F.col("c_mktsegment") == segment)
-        part.write.option("header", True).option("sep", sep).option("encoding", charset).csv(f"{root}/{segment}")
-    found = csv_files.detect_csv_dialect(spark, f"{root}/*")
+        part = customers.where(F.col("c_mktsegment") == segment).withColumn("of", F.col("c_mktsegment"))
+        # a plain writer leaves a header for a first partition without rows: a file of another encoding than the segment's
+        part.write.partitionBy("of").option("header", True).option("sep", sep).option("encoding", charset).csv(f"{root}/{segment}")
+    found = csv_files.detect_csv_dialect(spark, f"{root}/*/of=*")
     return found.select(
-        F.element_at(F.split("path", "/"), -2).alias("segment"),
+        F.element_at(F.split("path", "/"), -3).alias("segment"),
         "encoding",
         F.when(F.col("delimiter") == "\t", F.lit("tab")).otherwise(F.col("delimiter")).alias("delimiter"),
     ).distinct()

@@ -15,6 +15,7 @@ from cellsieve.sinks.stored import save_issues, save_raw
 from cellsieve.sources import csv_files, json_files, stored, xml_files
 from cellsieve.spec import SpecError, bind_spec, manual_spec, match_columns
 from cellsieve.streaming.checks import stream_issues, write_issues
+from suite import table_queries
 from tests.test_runs import SPEC as RUN_SPEC
 from tests.test_runs import dirty
 
@@ -459,3 +460,22 @@ def test_random_runs_do_not_depend_on_partitions(make):
         columns = dirty(random.Random(seed).randint(1, 200), seed + 10)
         one, many = (issue_order(all_issues(make(columns, p), RUN_SPEC)).collect() for p in (1, 9))
         assert one == many
+
+
+def test_dialects_of_a_table_whose_first_split_has_no_rows(spark, tmp_path):
+    """A writer leaves a header for an empty first partition: it was listed as a file in UTF-8 of a Latin-1 segment."""
+    rows = [(i, f"Customer#{i}", i % 7, i / 4, s) for i, s in enumerate([*table_queries.SEPARATORS] * 300)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").coalesce(
+        1).write.parquet(str(tmp_path / "customer.parquet"))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    kept = [spark.conf.get(n) for n in names]
+    try:
+        for name, value in zip(names, ("1000", "0")):
+            spark.conf.set(name, value)
+        got = table_queries.dialects(spark, str(tmp_path)).collect()
+    finally:
+        for name, value in zip(names, kept):
+            spark.conf.set(name, value)
+    shown = {"\t": "tab"}
+    assert sorted(map(tuple, got)) == sorted(
+        (s, "latin-1" if s == "MACHINERY" else "utf-8", shown.get(sep, sep)) for s, sep in table_queries.SEPARATORS.items())
