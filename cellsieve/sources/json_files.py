@@ -15,6 +15,8 @@ from cellsieve.sources.json_records import json_records
 # Keys under which an object may hold its records, in order.
 WRAPPER_KEYS = ("data", "records", "rows", "items", "results", "values")
 PEEK_ROWS = 12  # Fixed value: length of a preview.
+# Fixed value: control characters, which no JSON text holds, so that a document is one line.
+WHOLE = "\x01\x02\x03\x04\x05\x06\x07\x08"
 
 
 def _as_text(kind: T.DataType) -> T.DataType:
@@ -68,17 +70,19 @@ def scan_json(
     A document is an array of objects, an object wrapping a list of records, or a
     single object. That is found out file by file, and files of one layout are read together. Of documents larger than a
     split, all splits cut the records out, one line each and in order; only a single object or a list of plain
-    values is one task's input. Lines are records as they are. *columns* fixes the column order; readers sort by
+    values is one task's input. Other documents are read as one line each: Spark's multi-line reader opens the file once more for every
+    number, truth value and nested value it returns as text. Lines are records as they are. *columns* fixes the column order; readers sort by
     name. With a *schema* of the objects (documents: of one layout) types are not looked for.
     """
     if lines:
-        parts = [_scan_layout(spark, path, None, True, schema)]
+        parts = [_scan_layout(spark, path, None, LINES, schema)]
     else:
-        groups, cut = _grouped(spark, path)
-        if not groups and not cut:
+        groups, large, cut = _grouped(spark, path)
+        if not groups and not large and not cut:
             raise ValueError(f"no JSON documents under {path}")
-        parts = [_scan_layout(spark, files, layout, False, schema) for layout, files in _in_order(groups)]
-        parts += [_scan_layout(spark, files, None, True, _record_schema(schema, layout)) for layout, files in _in_order(cut)]
+        parts = [_scan_layout(spark, files, layout, {"lineSep": WHOLE}, schema) for layout, files in _in_order(groups)]
+        parts += [_scan_layout(spark, files, layout, {"multiLine": "true"}, schema) for layout, files in _in_order(large)]
+        parts += [_scan_layout(spark, files, None, LINES, _record_schema(schema, layout)) for layout, files in _in_order(cut)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
@@ -87,6 +91,7 @@ def scan_json(
 
 
 Groups = dict[str | None, list[str]]
+LINES: dict[str, str] = {}  # the reader's options for JSON Lines
 
 
 def _in_order(groups: Groups) -> list[tuple[str | None, list[str]]]:
@@ -97,25 +102,28 @@ def _record_schema(schema: T.StructType | None, layout: str | None) -> T.StructT
     return schema if schema is None or layout is None else schema[layout].dataType.elementType
 
 
-def _grouped(spark: SparkSession, path: str | Sequence[str]) -> tuple[Groups, Groups]:
-    """Files by layout: documents read as they are, and folders with the records of large ones, one line each."""
+def _grouped(spark: SparkSession, path: str | Sequence[str]) -> tuple[Groups, Groups, Groups]:
+    """Files by layout: documents of a split at most, larger ones whose records cannot be cut out, and folders with the records
+    of the others, one line each."""
     listed = spark.read.format("binaryFile").load(path).select(
         "path", F.col("_metadata.file_path").alias("file"), "length").collect()  # one row per file; contents are not read
     by_file = {row["file"]: row["path"] for row in listed}
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    large = [row["path"] for row in listed if row["length"] > split]
+    large = {row["path"] for row in listed if row["length"] > split}
     small = [row["path"] for row in listed if row["length"] <= split]
     groups: Groups = {}
+    whole: Groups = {}
     apart: Groups = {}
     found = _layouts(spark, small).withColumn("apart", F.lit(False)).collect() if small else []  # one row per file
     records = None
     if large:
-        told, records = json_records(spark, large, WRAPPER_KEYS)
+        told, records = json_records(spark, sorted(large), WRAPPER_KEYS)
         found += told.collect()
     for file in found:
         if file["layout"] == "other":
             raise ValueError(f"a JSON document must be an array of objects or an object: {file['path']}")
-        (apart if file["apart"] else groups).setdefault(file["layout"], []).append(file["path"])
+        of = apart if file["apart"] else whole if by_file[file["path"]] in large else groups
+        of.setdefault(file["layout"], []).append(file["path"])
     cut: Groups = {}
     for layout, files in apart.items():
         target = new_path(spark, "json-records")
@@ -124,7 +132,8 @@ def _grouped(spark: SparkSession, path: str | Sequence[str]) -> tuple[Groups, Gr
         line = F.translate("record", "\r\n", "  ").alias("value")
         records.where(F.col("path").isin(*files)).sort("path", "start", "line").select(line).write.text(target)
         cut[layout] = [target]
-    return {layout: [by_file[file] for file in files] for layout, files in groups.items()}, cut
+    named = [{layout: [by_file[file] for file in files] for layout, files in of.items()} for of in (groups, whole)]
+    return *named, cut
 
 
 def _layouts(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -143,13 +152,13 @@ def _layouts(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return documents.select("path", layout.alias("layout"))
 
 
-def _scan_layout(spark, path, key: str | None, lines: bool, schema: T.StructType | None) -> DataFrame:
-    native = schema or spark.read.option("multiLine", not lines).json(path).schema
+def _scan_layout(spark, path, key: str | None, options: dict[str, str], schema: T.StructType | None) -> DataFrame:
+    native = schema or spark.read.options(**options).json(path).schema
     corrupt = spark.conf.get("spark.sql.columnNameOfCorruptRecord")
     if native.fieldNames() and set(native.fieldNames()) <= {corrupt}:
         raise ValueError("a JSON document must be an array of objects or an object")
     native = T.StructType([f for f in native.fields if f.name != corrupt])
-    reader = spark.read.option("multiLine", not lines).option("mode", "FAILFAST")
+    reader = spark.read.options(**options).option("mode", "FAILFAST")
     df = reader.schema(_as_text(native)).json(path)
     return _flatten(df, native) if key is None else json_unwrap_records(df, native, key)
 

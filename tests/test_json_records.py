@@ -91,3 +91,15 @@ def test_scan_cuts_large_documents(spark, small_splits, tmp_path):
     assert parts > 1
     schema = spark.createDataFrame([], "n long, rows array<struct<id: long>>").schema
     assert json_files.scan_json(spark, str(tmp_path / "in dir" / "b.json"), schema=schema).count() == 300
+
+
+def test_documents_of_numbers_are_read_about_once(spark, tmp_path):
+    """The multi-line reader opened the file again for every number read as text."""
+    path = tmp_path / "n.json"
+    path.write_text(json.dumps({"data": [{"id": i, "x": i / 8, "on": i % 2 == 0, "of": {"k": [i]}} for i in range(3000)]}))
+    files = spark._jvm.org.apache.hadoop.fs.FileSystem
+    read = lambda: files.getGlobalStorageStatistics().get("file").getLong("bytesRead")
+    before = read()
+    got = json_files.scan_json(spark, str(path), columns=["id", "x", "on", "of"]).collect()
+    assert read() - before < 20 * path.stat().st_size
+    assert len(got) == 3000 and tuple(got[9]) == ("9", "1.125", "False", '{"k":["9"]}')
