@@ -14,9 +14,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellsieve.scratch import write_table
@@ -27,6 +29,7 @@ _CLOSING = {COMMENT: b"--", CDATA: b"]]", INSTRUCTION: b"?", DOCTYPE: b"]"}
 _TAG = re.compile(rb"""<([^\s/"'<]++)(?:[^"'<]++|"[^"<]*+"|'[^'<]*+')*+""")
 _ATTRIBUTES = re.compile(rb"""(?:[^"'<]++|"[^"<]*+"|'[^'<]*+')*+""")
 _SELF = b""  # the name an empty element is closed by
+_REMEMBERED = 20_000  # tags and names a worker keeps
 
 
 def _after(piece: bytes, end: int) -> tuple[int, bool]:
@@ -76,12 +79,44 @@ def _declaration(markup: bytes) -> int:
     return DOCTYPE if b"[" in markup and not markup.rstrip().endswith(b"]") else NORMAL
 
 
+class _Tags(dict):
+    """What pieces between tags do, by their part from the first `<` on; the same few tags make up most of a file."""
+
+    def __missing__(self, tail: bytes) -> tuple[int, bytes | None, bytes | None]:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        done = self[tail] = step(NORMAL, tail)
+        return done
+
+
+_TAGS = _Tags()
+
+
+def _stepped(state: int, piece: bytes) -> tuple[int, bytes | None, bytes | None]:
+    """As ``step``, by what is remembered. A piece without a `<` is known by its last byte."""
+    return _TAGS[piece[piece.find(b"<"):]] if state == NORMAL else step(state, piece)
+
+
+class _Names(dict):
+    """Names of elements by their bytes."""
+
+    def __missing__(self, raw: bytes) -> str:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        local = raw.rpartition(b":")[2]
+        try:
+            name = local.decode()
+        except UnicodeDecodeError:
+            name = local.decode("latin-1")
+        self[raw] = name
+        return name
+
+
+_NAMES = _Names()
+
+
 def _name(raw: bytes) -> str:
-    raw = raw.rpartition(b":")[2]
-    try:
-        return raw.decode()
-    except UnicodeDecodeError:
-        return raw.decode("latin-1")
+    return _NAMES[raw]
 
 
 class Element:
@@ -123,7 +158,7 @@ class Walk:
 
     def take(self, piece: bytes) -> tuple[Element | None, Element | None]:
         """The elements that a piece opens and closes."""
-        self.state, opens, closes = step(self.state, piece)
+        self.state, opens, closes = _stepped(self.state, piece)
         if self.state == DEAD:
             raise self.malformed("a tag cannot be read")
         self.nth += 1
@@ -158,27 +193,34 @@ def pieces(content: bytes) -> Iterator[bytes]:
 
 # --- files -------------------------------------------------------------------
 
+def _key() -> Column:
+    """A number for a file: paths beside every piece took two thirds of the time to hand pieces to Python."""
+    return F.xxhash64(F.col("_metadata.file_path")).alias("file")
+
+
 def _pieces_of(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     return spark.read.option("lineSep", ">").text(list(files)).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        _key(), F.col("_metadata.file_block_start").alias("start"),
         F.col("value").cast("binary").alias("piece"))
 
 
-def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[bytes], bool]]:
-    """``file, start, pieces, last`` as they come: pieces of one split in one or more lists, in order."""
+def _splits(batches: Iterator[pa.RecordBatch], names: dict[int, str] | None) -> Iterator[tuple[str, int, pa.Array, bool]]:
+    """``file, start, pieces, last`` as they come: pieces of one split in one or more arrays, in order; *names* of the files by key."""
     held = None
     for batch in batches:
-        files, starts, found = (batch.column(i).to_pylist() for i in range(3))
+        if not batch.num_rows:
+            continue
+        keys, starts, found = batch.columns
+        # where another split begins; most batches are of one
+        turns = pc.or_(pc.not_equal(keys[1:], keys[:-1]), pc.not_equal(starts[1:], starts[:-1]))
+        ends = [*(i + 1 for i in pc.indices_nonzero(turns).to_pylist()), len(found)]
         at = 0
-        while at < len(found):
-            key, end = (files[at], starts[at]), at + 1
-            if files[-1] == files[at] and starts[-1] == starts[at]:
-                end = len(found)
-            while end < len(found) and (files[end], starts[end]) == key:
-                end += 1
+        for end in ends:
+            name = keys[at].as_py()
+            key = (names[name] if names else name, starts[at].as_py())
             if held is not None:
                 yield *held, held[:2] != key
-            held = (*key, found[at:end])
+            held = (*key, found.slice(at, end - at))
             at = end
     if held is not None:
         yield *held, True
@@ -196,27 +238,74 @@ _OPEN_TYPE = "array<struct<name string, at bigint, nth bigint>>"
 _EFFECT_TYPE = f"file string, start bigint, entered bigint, left bigint, closed bigint, opened {_OPEN_TYPE}"
 
 
-def _effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _only_tags(found: pa.Array) -> tuple[list, np.ndarray, np.ndarray] | None:
+    """Of pieces after which all is between tags, entered there: the name that each different one opens, the change of depth by
+    each, and which one every piece is. None if there are others, or too many."""
+    tails = pc.replace_substring_regex(found, pattern="^[^<]+", replacement="").dictionary_encode()
+    if len(tails.dictionary) > _REMEMBERED:
+        return None
+    done = [_TAGS[tail] for tail in tails.dictionary.to_pylist()]
+    if any(state != NORMAL for state, _, _ in done):
+        return None
+    turns = np.array([(opens is not None) - (closes is not None) for _, opens, closes in done], np.int64)
+    return [opens for _, opens, _ in done], turns, tails.indices.to_numpy()
+
+
+def _may_close(state: int, found: pa.Array) -> bool:
+    """Whether a piece may end the comment, CDATA section, instruction or DOCTYPE that all pieces stand in."""
+    # blanks may follow the bracket that ends a DOCTYPE
+    looks = pc.match_substring if state == DOCTYPE else pc.ends_with
+    return pc.any(looks(found, _CLOSING[state])).as_py()
+
+
+def _go_by_tags(way: list, tags: tuple[list, np.ndarray, np.ndarray], nth: int) -> None:
+    """As ``_go``, of all pieces at once."""
+    names, turns, which = tags
+    turn = turns[which]
+    depth = np.cumsum(turn)
+    ends = max(0, -int(depth.min()))  # elements closed that were open before
+    kept = max(0, len(way[3]) - ends)
+    way[2] += ends - (len(way[3]) - kept)
+    del way[3][kept:]
+    least = np.minimum.accumulate(depth[::-1])[::-1]
+    way[3].extend((names[which[i]], nth + 1 + i) for i in np.flatnonzero((turn == 1) & (depth <= least)).tolist())
+
+
+def _go(way: list, found: list[bytes], nth: int) -> None:
+    """Take a way (entered, state, closed, opened) through pieces of which *nth* came before."""
+    _, state, closed, opened = way
+    for nth, piece in enumerate(found, nth + 1):
+        state, opens, closes = _TAGS[piece[piece.find(b"<"):]] if state == NORMAL else step(state, piece)
+        if opens is not None:
+            opened.append((opens, nth))
+        if closes is not None:
+            if opened:
+                opened.pop()
+            else:
+                closed += 1
+        if state == DEAD:
+            break
+    way[1:3] = state, closed
+
+
+def _effects(batches: Iterator[pa.RecordBatch], names: dict[int, str] | None = None) -> Iterator[pa.RecordBatch]:
     """What each split does, for every state it can be entered in."""
     live: list[list] | None = None
     nth = 0
-    for file, start, found, last in _splits(batches):
+    for file, start, found, last in _splits(batches, names):
         if live is None:  # entered, state, closed, opened
             live = [[state, state, 0, []] for state in range(DEAD if start else COMMENT)]
             nth = 0
-        for piece in found:
-            nth += 1
-            for way in live:
-                way[1], opens, closes = step(way[1], piece)
-                if opens is not None:
-                    way[3].append((opens, nth))
-                if closes is not None:
-                    if way[3]:
-                        way[3].pop()
-                    else:
-                        way[2] += 1
-            if any(way[1] == DEAD for way in live):
-                live = [way for way in live if way[1] != DEAD]
+        tags = _only_tags(found)
+        listed = None
+        for way in live:
+            if way[1] == NORMAL and tags is not None:
+                _go_by_tags(way, tags, nth)
+            elif way[1] not in _CLOSING or _may_close(way[1], found):
+                listed = listed or found.to_pylist()
+                _go(way, listed, nth)
+        nth += len(found)
+        live = [way for way in live if way[1] != DEAD]
         if last:
             yield _rows([(file, start, entered, left, closed,
                           [{"name": _name(name), "at": start, "nth": n} for name, n in opened])
@@ -247,15 +336,20 @@ class XmlFiles:
     def __init__(self, spark: SparkSession, path: str | Sequence[str]):
         self.spark = spark
         listed = spark.read.format("binaryFile").load(path).select(
-            "path", F.col("_metadata.file_path").alias("file"), "length").collect()  # one row per file; contents are not read
+            "path", F.col("_metadata.file_path").alias("file"), "length", _key().alias("key")).collect()  # one row per file; contents are not read
         self.paths = {row["file"]: row["path"] for row in listed}
+        names = {row["key"]: row["file"] for row in listed}
+        if len(names) < len(self.paths):
+            raise ValueError("two paths have the same 64-bit hash")
+        self.names = names = spark.sparkContext.broadcast(names)
         conf = spark._jsparkSession.sessionState().conf()
         # a file up to this size is never cut
         whole = min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes())
         cut = [row["path"] for row in listed if row["length"] > whole]
         self.entries: dict[tuple[str, int], tuple[int, list]] = {}
         if cut:
-            composed = _pieces_of(spark, cut).mapInArrow(_effects, _EFFECT_TYPE).groupBy("file").applyInPandas(
+            composed = _pieces_of(spark, cut).mapInArrow(
+                lambda batches: _effects(batches, names.value), _EFFECT_TYPE).groupBy("file").applyInPandas(
                 _composed, f"file string, start bigint, state bigint, opened {_OPEN_TYPE}")
             # one row per split of the large files, as the driver lists them to plan the scan
             self.entries = {(row["file"], row["start"]): (row["state"], [tuple(o) for o in row["opened"]])
@@ -283,6 +377,7 @@ class XmlFiles:
         empty path, what a reader that looks for tags only could take for markup.
         """
         entry, is_cut = self._entry()
+        names = self.names
         schema = pa.schema([("file", pa.string()), ("kind", pa.string()), ("at", pa.int64()), ("nth", pa.int64()),
                             ("found", pa.string()), ("low", pa.string()), ("high", pa.string()), ("n", pa.int64())])
 
@@ -291,16 +386,19 @@ class XmlFiles:
 
         def look(batches):
             walk = None
-            for file, start, found, last in _splits(batches):
+            for file, start, found, last in _splits(batches, names.value):
                 if walk is None:
                     walk, first, counts, out = entry(file, start), None, {}, []
-                for piece in found:
+                for piece in found.to_pylist():
                     before = walk.state
                     opened, closed = walk.take(piece)
-                    if _hides_markup(before, walk.state, piece, opened is None and closed is None):
+                    no_tag = opened is None and closed is None
+                    if (no_tag or before or walk.state) and _hides_markup(before, walk.state, piece, no_tag):
                         counts.setdefault("", [0, start, walk.nth])[0] += 1
                     if opened is not None:
-                        seen = counts.setdefault(opened.path, [0, opened.start, opened.nth])
+                        seen = counts.get(opened.path)
+                        if seen is None:
+                            seen = counts[opened.path] = [0, opened.start, opened.nth]
                         seen[0] += 1
                     if closed is not None:
                         if closed.start != start:
@@ -337,20 +435,21 @@ class XmlFiles:
         Records within one split stay where they are; the parts of others meet by their record.
         """
         entry, _ = self._entry()
+        names = self.names
         cut = any(file in files for file, _ in self.entries)
         schema = pa.schema([("file", pa.string()), ("at", pa.int64()), ("nth", pa.int64()), ("part", pa.int64()),
                             ("whole", pa.bool_()), ("record", pa.string())])
 
         def extract(batches):
             walk = None
-            for file, start, found, last in _splits(batches):
+            for file, start, found, last in _splits(batches, names.value):
                 out = []
                 if walk is None:
                     walk, record, text = entry(file, start), None, []
                     target = _target(walk.stack[0].name, parts) if walk.stack else None
                     if target is not None and len(walk.stack) > target[1] and walk.stack[target[1]].path == target[0]:
                         record = walk.stack[target[1]]  # goes on from the split before
-                for piece in found:
+                for piece in found.to_pylist():
                     before = walk.state
                     opened, closed = walk.take(piece)
                     if opened is not None and record is None:

@@ -140,3 +140,25 @@ def test_cut_out_records_equal_those_of_a_parser(spark, tmp_path):
     want = sorted((o.attrib["a"], (o[0].text or "").strip()) for o in ET.fromstring(text.encode()).find("os"))
     got = xml_files.scan_xml(spark, str(tmp_path / "a.xml")).select("@a", "k")
     assert sorted(tuple(r) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_pieces_at_once_equal_one_by_one(seed):
+    """Whole batches of tags are counted at once, beside the loop that steps from piece to piece."""
+    rng = random.Random(seed)
+    kinds = [b"x</a", b"<b", b"\n <b k='1'", b"<c/", b"text", b"</b", b"", b"\xe9</a", b"<a"]
+    found = [rng.choice(kinds) for _ in range(rng.randint(1, 60))]
+    ways = [[0, xml_tags.NORMAL, 0, [(b"r", 1), (b"s", 2)][:seed]] for _ in range(2)]
+    ways = [[*way[:3], list(way[3])] for way in ways]
+    tags = xml_tags._only_tags(xml_tags.pa.array(found, xml_tags.pa.binary()))
+    xml_tags._go_by_tags(ways[0], tags, 5)
+    xml_tags._go(ways[1], found, 5)
+    assert ways[0] == ways[1]
+    assert xml_tags._only_tags(xml_tags.pa.array([*found, b"<!-- "], xml_tags.pa.binary())) is None
+
+
+def test_pieces_carry_no_paths(spark, tmp_path):
+    """A path beside every piece took most of the time to hand pieces to Python."""
+    (tmp_path / "a.xml").write_text("<a><b>1</b></a>")
+    kinds = dict(xml_tags._pieces_of(spark, [str(tmp_path / "a.xml")]).dtypes)
+    assert kinds["file"] == "bigint"
