@@ -12,8 +12,14 @@ from cellsieve.plans.cells import ISSUE_COLUMNS, ROW, row_column
 from cellsieve.plans.validate import issue_order
 
 
+# A file holds so many cells: a reader of cells with line breaks takes a file in one task.
+CELLS_PER_FILE = 2_000_000
+
+
 def _write_csv(df: DataFrame, path: str) -> None:
     writer = df.write.mode("error").option("header", True).option("escape", '"')
+    # A partition goes on in further files, whose names follow its order.
+    writer = writer.option("maxRecordsPerFile", max(1, CELLS_PER_FILE // max(1, len(df.columns))))
     # Empty texts are written as nothing; blanks around a value belong to it.
     writer = writer.option("emptyValue", "").option("ignoreLeadingWhiteSpace", False)
     writer.option("ignoreTrailingWhiteSpace", False).csv(path)

@@ -479,3 +479,13 @@ def test_dialects_of_a_table_whose_first_split_has_no_rows(spark, tmp_path):
     shown = {"\t": "tab"}
     assert sorted(map(tuple, got)) == sorted(
         (s, "latin-1" if s == "MACHINERY" else "utf-8", shown.get(sep, sep)) for s, sep in table_queries.SEPARATORS.items())
+
+
+def test_exported_files_are_bounded(make, tmp_path, monkeypatch):
+    """A partition was one file, which readers of cells with line breaks take in one task."""
+    monkeypatch.setattr(exports, "CELLS_PER_FILE", 200, raising=False)
+    issues = validate(make({"A": ["x"] * 333}), DatasetSpec.of(C("A", "integer"))).ordered_issues
+    exports.export_issues_csv(issues, str(tmp_path / "i"))
+    files = [p.read_text().splitlines() for p in sorted((tmp_path / "i").glob("part-*"))]
+    assert max(map(len, files)) <= 51 and {f[0] for f in files} == {"row,column,code,message"}
+    assert [int(line.split(",")[0]) for f in files for line in f[1:]] == list(range(333))
