@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellsieve.llm.base import in_arrow, raw_texts
-from cellsieve.llm.graph import components
+from cellsieve.llm.graph import BROADCAST_EDGES, components
 from cellsieve.scratch import write_table
 
 SHINGLE = 5
@@ -160,6 +160,10 @@ def _near(ties: DataFrame, nodes: DataFrame, minima: int, percent: int) -> DataF
     a = ends.select(F.col("node").alias("_a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     b = ends.select(F.col("node").alias("_b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
     agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    # few ties go to the nodes, so that one of the two joins shuffles nothing
+    ties = write_table(ties, "tied")
+    if ties.count() <= BROADCAST_EDGES:
+        ties = F.broadcast(ties)
     near = (
         ties.join(a, F.col("centre") == F.col("_a")).join(b, F.col("node") == F.col("_b"))
         .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
@@ -339,13 +343,14 @@ def _rounds(met: DataFrame, nodes: DataFrame, minima: int, percent: int) -> list
 def _across_clusters(halves: DataFrame, ties: DataFrame, nodes: DataFrame, minima: int, percent: int) -> DataFrame:
     """``ties``, and ties that join the clusters of a bucket where its star has left several."""
     def with_comp(rows: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
-        return rows.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left").select(
+        side = F.broadcast(roots) if roots.count() <= BROADCAST_EDGES else roots
+        return rows.join(side.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left").select(
             "node", F.coalesce("root", "node").alias("comp"), *columns)
 
     def small(table: DataFrame, rows: int | None = None) -> DataFrame:
         return F.broadcast(table) if (table.count() if rows is None else rows) <= BROADCAST_ROWS else table
 
-    roots = components(ties, "centre", "node")
+    roots = components(ties, "centre", "node", own=False)
     placed = _keys(with_comp(halves, roots, "left", "right"), "node", "comp")
     # the star has compared the nodes of a bucket of two; of buckets with the same nodes one is enough
     digest = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"d{k}") for k in range(2)]
@@ -365,13 +370,13 @@ def _across_clusters(halves: DataFrame, ties: DataFrame, nodes: DataFrame, minim
         ties = ties.unionByName(more)
     if found:
         # a cluster is named by one of its nodes
-        roots = components(ties, "centre", "node")
+        roots = components(ties, "centre", "node", own=False)
         met = write_table(with_comp(met.select("key", F.col("comp").alias("node")), roots, "key").select("key", "comp"), "met")
 
     # clusters that meet in a bucket, by a star over clusters
     least = met.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(
         F.col("key").alias("_key"), "lo")
-    meet = met.join(least, F.col("key") == F.col("_key")).where("comp <> lo").select("lo", "comp").distinct()
+    meet = write_table(met.join(least, F.col("key") == F.col("_key")).where("comp <> lo").select("lo", "comp").distinct(), "meet")
     supers = components(meet, "lo", "comp").select(F.col("node").alias("_comp"), F.col("root").alias("cluster"))
     sized = write_table(with_comp(halves, roots).join(small(supers), F.col("comp") == F.col("_comp")).join(
         nodes.select(F.col("node").alias("_n"), "n"), F.col("node") == F.col("_n")).select(
@@ -393,8 +398,9 @@ def _across_clusters(halves: DataFrame, ties: DataFrame, nodes: DataFrame, minim
     return ties.unionByName(write_table(more, "ties"))
 
 
-def _between_components(ties: DataFrame, links: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links between nodes of one cluster that stars have left in different components."""
+def _between_components(
+        ties: DataFrame, links: DataFrame, texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links between nodes of one cluster that stars have left in different components, and these components' stars."""
     # one run for both graphs: even numbers for ties, odd ones for links
     both = ties.select((F.col("centre") * 2).alias("a"), (F.col("node") * 2).alias("b")).unionByName(
         links.select((F.col("centre") * 2 + 1).alias("a"), (F.col("node") * 2 + 1).alias("b")))
@@ -419,7 +425,8 @@ def _between_components(ties: DataFrame, links: DataFrame, texts: DataFrame, shi
         found = forest(sets, comp, rest, own, percent)
         return pd.DataFrame({"centre": [node[a] for a, _ in found], "node": [node[b] for _, b in found]}, dtype="int64")
 
-    return dealt.groupBy("cluster", "task").applyInPandas(compare, "centre long, node long")
+    stars = roots.where("of = 1 and node <> root").select(F.col("root").alias("centre"), "node")
+    return write_table(dealt.groupBy("cluster", "task").applyInPandas(compare, "centre long, node long"), "links"), stars
 
 
 def _report(docs: DataFrame, shingle: int, percent: int, tables: int, rows: int) -> DataFrame:
@@ -446,8 +453,11 @@ def _report(docs: DataFrame, shingle: int, percent: int, tables: int, rows: int)
         given.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
         .groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text")), "texts")
     links = _verified(ties, texts, shingle, percent)
-    more = write_table(_between_components(ties, links, texts, shingle, percent), "links")
-    roots = components(links.unionByName(more), "centre", "node")
+    more, stars = _between_components(ties, links, texts, shingle, percent)
+    if more.isEmpty():
+        roots = stars.withColumnRenamed("centre", "root")
+    else:
+        roots = components(stars.unionByName(more), "centre", "node", own=False)
     named = nodes.select("node", "d1", "d2").join(roots, "node", "left").select(
         F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.coalesce("root", "node").alias("root"))
     # the root is the smallest node of its component, and nodes follow the ids

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from cellsieve.llm import graph
 from cellsieve.llm import minhash_dedup as N
 from cellsieve.llm.graph import components
 
@@ -225,3 +226,29 @@ def test_components(spark):
             parent[max(root(a), root(b))] = min(root(a), root(b))
     assert got == {x: root(x) for x in list(parent)}
     assert components(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_rounds_of_components(spark, monkeypatch, few):
+    """Rounds end with the one that has made stars of all edges; none is run to see that nothing changes."""
+    written = []
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", few)
+    monkeypatch.setattr(graph, "write_table", lambda df, name, *at: written.append(name) or N.write_table(df, name, *at))
+
+    def run(edges, **how):
+        written.clear()
+        table = spark.createDataFrame(edges, "x long, y long")
+        return {r["node"]: r["root"] for r in components(table, "x", "y", **how).collect()}
+
+    star = [(k, 3) for k in range(4, 40)]
+    assert run(star + star) == {k: 3 for k in range(3, 40)} and written == ["components", "roots"]
+    assert run(star, own=False) == {k: 3 for k in range(4, 40)} and written == ["components"]
+    # 9 has two centres, of which none is tied to another node
+    assert run([(1, 9), (2, 9), (2, 8), (8, 8)]) == {1: 1, 2: 1, 8: 1, 9: 1}
+    rng = random.Random(5)
+    pairs = [(a, b) for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(260)) if a != b]
+    least = {x: x for pair in pairs for x in pair}
+    for _ in least:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    assert run(pairs) == least
