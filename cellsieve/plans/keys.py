@@ -1,14 +1,15 @@
 """Uniqueness of columns and column sets.
 
-All keyed rules share one aggregation: per (rule, key) the first row and the
-number of rows, combined map-side so that a frequent key costs one row per
-task. Keys seen more than once are written down, so that their number is known
-before anything is joined back:
-
-* few repeated keys are broadcast, and the table's rows are not shuffled at all;
-* otherwise the keys with very many rows, whose list is bounded, are broadcast
-  and the rest meet in an ordinary join. No reducer ever receives the rows of a
-  very frequent key.
+All keyed rules share one count: rows per 64-bit hash of (rule, key), combined
+map-side so that a frequent key costs one row per task, without the rows' identity.
+Hashes seen more than once are written down, so that their number is known before
+any identity is moved. Equal hashes only choose the way; keys decide.
+
+* Few repeated keys are broadcast, and only their rows are brought together, or
+  none if some of the keys have many rows;
+* otherwise every row is moved once, to the others of its key, but for the keys
+  with very many rows, whose list is bounded: these are folded map-side and their
+  first rows broadcast. No reducer ever receives the rows of a very frequent key.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellsieve import codes
@@ -36,12 +37,16 @@ from cellsieve.scratch import write_table
 from cellsieve.spec import DatasetSpec
 
 # Up to this many repeated keys are broadcast. A key is at most
-# KEY_DIGEST_BYTES + 1 bytes, so with its numbers this is about 100 MB.
+# KEY_DIGEST_BYTES + 1 bytes, so with its first row this is about 100 MB.
 BROADCAST_KEYS = 1_000_000
 
+# While repeated keys are few, rows of a key are brought together up to this many;
+# if any key has more, the first rows are folded map-side and broadcast.
+OFTEN_ROWS = 1_000
+
 # A key on more rows than this is matched by broadcast in any case. At most
-# total_rows / HOT_KEY_ROWS keys qualify: 10^12 rows give 2*10^5, about 20 MB.
-HOT_KEY_ROWS = 5_000_000
+# total_rows / HOT_KEY_ROWS keys qualify: 10^11 rows give 10^5, about 20 MB.
+HOT_KEY_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -130,7 +135,6 @@ def fold_keys(candidates: DataFrame) -> DataFrame:
 
 def duplicates(
     candidates: DataFrame,
-    keys: DataFrame,
     broadcast_keys: int = BROADCAST_KEYS,
     hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
@@ -139,19 +143,34 @@ def duplicates(
     Rows without a row key come last. Of several rows that share key and row key all but one are repeats, each
     reported under their common row key: none is dropped.
     """
-    repeated = write_table(
-        keys.where(F.col("n") > 1).select("rule", "key", "first", "n"), "repeated-keys"
-    )
+    hashed = candidates.withColumn("hash", F.xxhash64("rule", "key"))
+    counts = hashed.groupBy("hash").agg(F.count("*").alias("n"))
+    repeated = write_table(counts.where("n > 1"), "repeated-keys")
+
+    def rows_of(hashes: DataFrame, how: str = "left_semi") -> DataFrame:
+        return hashed.join(F.broadcast(hashes.select("hash")), "hash", how).drop("hash")
+
     if repeated.count() <= broadcast_keys:
-        return _repeats(candidates.join(F.broadcast(repeated.drop("n")), ["rule", "key"]))
-    is_hot = F.col("n") > hot_rows
-    hot = repeated.where(is_hot).drop("n")
+        often = repeated.where(F.col("n") > min(OFTEN_ROWS, hot_rows))
+        return _by_rank(rows_of(repeated)) if often.isEmpty() else _by_broadcast(rows_of(repeated))
+    hot = repeated.where(F.col("n") > hot_rows)
     if hot.isEmpty():
-        return _repeats(candidates.join(repeated.drop("n"), ["rule", "key"]))
-    cold = repeated.where(~is_hot).drop("n")
-    from_hot = candidates.join(F.broadcast(hot), ["rule", "key"])
-    rest = candidates.join(F.broadcast(hot.drop("first")), ["rule", "key"], "left_anti")
-    return _repeats(from_hot.unionByName(rest.join(cold, ["rule", "key"])))
+        return _by_rank(candidates)
+    return _by_broadcast(rows_of(hot)).unionByName(_by_rank(rows_of(hot, "left_anti")))
+
+
+def _by_rank(candidates: DataFrame) -> DataFrame:
+    """Repeats by bringing the rows of each key together: every row is moved once."""
+    ranked = Window.partitionBy("rule", "key").orderBy(F.col(ROW).asc_nulls_last(), "raw", "num")
+    return candidates.select(
+        "*", F.row_number().over(ranked).alias("_nth"), F.first(ROW).over(ranked).alias("first")
+    ).where("_nth > 1").drop("_nth")
+
+
+def _by_broadcast(candidates: DataFrame) -> DataFrame:
+    """Repeats by broadcasting the first row of each key: no row is moved."""
+    firsts = write_table(fold_keys(candidates).select("rule", "key", "first"), "first-rows")
+    return _repeats(candidates.join(F.broadcast(firsts), ["rule", "key"]))
 
 
 def _repeats(found: DataFrame) -> DataFrame:
@@ -217,6 +236,6 @@ def key_issues(
     if not singles and not composites:
         return empty_issues(df, row_key)
     candidates = key_candidates(df, spec, row_key, singles, composites)
-    found = duplicates(candidates, fold_keys(candidates), broadcast_keys, hot_rows)
+    found = duplicates(candidates, broadcast_keys, hot_rows)
     positions = {c: i for i, c in enumerate(table_columns(df, row_key))}
     return duplicate_issues(found, singles, composites, positions)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from cellsieve import ColumnSpec, DatasetSpec, cell_issues
 from cellsieve.operators import summary
+from cellsieve.plans import keys
 from cellsieve.plans.keys import key_issues
+from cellsieve.scratch import write_table
 
 C = ColumnSpec
 SPEC = DatasetSpec.of(
@@ -79,3 +81,23 @@ def test_key_columns_only(spark, stored):
     schemas = re.findall(r"ReadSchema: (.*)", plan)
     assert schemas and all("i:string" not in s and "n:string" not in s for s in schemas)
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan  # few repeated keys: broadcast
+
+
+@pytest.mark.parametrize("repeats", [2, 3000])
+def test_identity_of_rows_is_moved_once(spark, monkeypatch, repeats):
+    """Rows known by several columns: keys are counted by their hashes, and only then rows are moved, none of frequent keys."""
+    written = []
+    monkeypatch.setattr(keys, "write_table", lambda df, name: written.append(explain(spark, df)) or write_table(df, name))
+    rows = spark.range(6000).select(
+        F.col("id").alias("x"), F.col("id").cast("string").alias("y"), (F.col("id") / repeats).cast("long").cast("string").alias("k"))
+    spec = DatasetSpec.of(C("k", rules={"unique": True}))
+    for options in ({}, {"broadcast_keys": 0}, {"broadcast_keys": 0, "hot_rows": 1000}):
+        written.clear()
+        found = key_issues(rows, spec, ["x", "y"], **options)
+        plan = explain(spark, found, "simple")
+        counted = re.findall(r"Functions \[\d+\]: \[(.*)\]", written[0])
+        assert counted and all("min" not in f and "first" not in f for f in counted) and "SortMergeJoin" not in plan
+        if repeats == 2:
+            assert len(written) == 1 and plan.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan
+        got = {(r["row"]["x"], r["row"]["y"]) for r in found.collect()}
+        assert got == {(i, str(i)) for i in range(6000) if i % repeats}
