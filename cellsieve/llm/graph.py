@@ -20,7 +20,8 @@ def _least(edges: DataFrame, few: bool) -> DataFrame:
 
 def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     """Every node's larger neighbours are tied to the smallest of the node and its neighbours."""
-    return edges.join(_least(edges, few), F.col("a") == F.col("_b"), "left").select(F.coalesce("m", "a").alias("a"), "b")
+    # the exchange of distinct edges is what the small star uses twice, so that the join is not made twice
+    return edges.join(_least(edges, few), F.col("a") == F.col("_b"), "left").select(F.coalesce("m", "a").alias("a"), "b").distinct()
 
 
 def _small_star(edges: DataFrame, few: bool) -> DataFrame:
@@ -45,7 +46,7 @@ def components(edges: DataFrame, a: str, b: str, own: bool = True) -> DataFrame:
 
     Large-star and small-star steps in turn until the edges are stars: a number of rounds
     that grows with the logarithm of the longest path. Each round is written to the shared folder.
-    Edges lead from the smaller to the larger node. While there are few, only their smallest neighbours are shuffled, else
+    Edges lead from the smaller to the larger node. While there are few, joins shuffle nothing, else
     a node with many neighbours costs one aggregated row per task and a join that Spark can split.
     """
     spark = edges.sparkSession
