@@ -20,8 +20,7 @@ def _least(edges: DataFrame, few: bool) -> DataFrame:
 
 def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     """Every node's larger neighbours are tied to the smallest of the node and its neighbours."""
-    # the exchange of distinct edges is what the small star uses twice, so that the join is not made twice
-    return edges.join(_least(edges, few), F.col("a") == F.col("_b"), "left").select(F.coalesce("m", "a").alias("a"), "b").distinct()
+    return edges.join(_least(edges, few), F.col("a") == F.col("_b"), "left").select(F.coalesce("m", "a").alias("a"), "b")
 
 
 def _small_star(edges: DataFrame, few: bool) -> DataFrame:
@@ -54,8 +53,11 @@ def components(edges: DataFrame, a: str, b: str, own: bool = True) -> DataFrame:
     path = None
     while True:
         few = now.count() <= BROADCAST_EDGES
-        fresh = new_path(spark, "components")
-        now = write_table(_small_star(_large_star(now, few), few), "components", fresh)
+        fresh, half = new_path(spark, "components"), new_path(spark, "large-star")
+        # the small star reads it three times
+        large = write_table(_large_star(now, few), "large-star", half)
+        now = write_table(_small_star(large, few), "components", fresh)
+        remove(spark, half)
         if path is not None:
             remove(spark, path)
         path = fresh
